@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from .byte_bpe import op7_byte_bpe
+from .language_id import op8_language_id
+from .quality_classifier import op4_quality_classifier
+from .quality_rules import op3_quality_rules
 
 QUERIES = {
+    "op3_quality_rules": op3_quality_rules,
+    "op4_quality_classifier": op4_quality_classifier,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_language_id": op8_language_id,
 }
 
 ORACLES: dict[str, str] = {}
