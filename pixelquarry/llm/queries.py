@@ -6,12 +6,16 @@ from .byte_bpe import op7_byte_bpe
 from .language_id import op8_language_id
 from .quality_classifier import op4_quality_classifier
 from .quality_rules import op3_quality_rules
+from .url_filter import op10_url_filter
+from .warc import op2_warc
 
 QUERIES = {
+    "op2_warc": op2_warc,
     "op3_quality_rules": op3_quality_rules,
     "op4_quality_classifier": op4_quality_classifier,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_language_id": op8_language_id,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLES: dict[str, str] = {}
