@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .byte_bpe import op7_byte_bpe
+from .decontaminate import op5_decontaminate
 from .language_id import op8_language_id
 from .quality_classifier import op4_quality_classifier
 from .quality_rules import op3_quality_rules
+from .substring_dedup import op6_substring_dedup
 from .url_filter import op10_url_filter
 from .warc import op2_warc
 
@@ -13,6 +15,8 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_quality_rules": op3_quality_rules,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_language_id": op8_language_id,
     "op10_url_filter": op10_url_filter,
