@@ -8,6 +8,7 @@ from .language_id import op8_language_id
 from .quality_classifier import op4_quality_classifier
 from .quality_rules import op3_quality_rules
 from .substring_dedup import op6_substring_dedup
+from .suffix_dedup import op9_suffix_dedup
 from .url_filter import op10_url_filter
 from .warc import op2_warc
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_language_id": op8_language_id,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_filter": op10_url_filter,
 }
 
