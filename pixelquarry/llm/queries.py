@@ -5,6 +5,7 @@ from __future__ import annotations
 from .byte_bpe import op7_byte_bpe
 from .decontaminate import op5_decontaminate
 from .language_id import op8_language_id
+from .near_dedup import op1_minhash_dedup
 from .quality_classifier import op4_quality_classifier
 from .quality_rules import op3_quality_rules
 from .substring_dedup import op6_substring_dedup
@@ -13,6 +14,7 @@ from .url_filter import op10_url_filter
 from .warc import op2_warc
 
 QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_warc": op2_warc,
     "op3_quality_rules": op3_quality_rules,
     "op4_quality_classifier": op4_quality_classifier,
