@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .meeting import among, ask, found_in, with_copies
+from .meeting import among, ask, found_in, with_copies, with_found
 from .tables import documents
 from .textbytes import Words, byte_view, pieces, window_hashes
 
@@ -111,8 +111,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                 columns = [piece.column("doc_id"), pa.array(words.count), pa.array(n_gone), pa.array(sha), pa.array(kept, pa.binary()).cast(pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    joined = base.join(found.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "copy", "found")
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return with_found(docs, base, found).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .meeting import ask, with_copies
+from .meeting import ask, with_copies, with_found
 from .tables import documents
 from .textbytes import _TABLES, byte_view, mix64, pieces
 
@@ -262,7 +262,7 @@ def removed_bytes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.nda
 def dedup(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``kept`` (the bytes that stay) of each document."""
     base = with_copies(docs)
-    found = repeats(base.where(~F.col("copy") & F.col("doc_id").isNotNull()))
+    found = repeats(base.where(~F.col("copy")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,8 +278,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                 columns = [piece.column("doc_id"), pa.array(np.diff(offsets)), pa.array(sums[offsets[1:]] - sums[offsets[:-1]]), pa.array(spans), pa.array(sha), pa.array(kept, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = base.join(found.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "copy", "found")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return with_found(docs, base, found).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
