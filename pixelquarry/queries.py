@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import filters, frequency, geometry, masks, paint, pointwise, reports, solvers, topology
-from .plans.raster import KEYS, Raster
+from .plans.raster import KEYS, Raster, together
 from .sources import generate, png
 
 W, H = 100, 10
@@ -336,11 +336,20 @@ _LAP = f"{_PYR}, d0 AS ({_UP('l0', 'l1', 50, 5)}), d1 AS ({_UP('l1', 'l2', 25, 2
 _LEVELS = lambda ts: " UNION ALL ".join(f"SELECT {i} AS level, rid, CAST(y AS INT) AS y, CAST(x AS INT) AS x, round(CAST(c0 AS DOUBLE), 4) + 0.0 AS c0 FROM {t}" for i, t in enumerate(ts))
 query("frequency_gaussian_pyramid", lambda s: frequency.levels_table(frequency.gaussian_pyramid(s.gray, 3)).select("level", *KEYS, *rounded(["c0"], 4)), f"WITH {EV}, {_PYR} " + _LEVELS(["l0", "l1", "l2"]))
 query("frequency_laplacian_split", lambda s: frequency.levels_table(frequency.laplacian_split(s.gray, 3)).select("level", *KEYS, *rounded(["c0"], 4)), f"WITH {EV}, {_LAP} " + _LEVELS(["d0", "d1", "l2"]))
-query("frequency_recombine", lambda s: show(frequency.recombine(frequency.laplacian_split(s.gray, 3)), 4), pixels("c0", digits=4))
+
+
+def _restored(s: Scene, back: Raster) -> DataFrame:
+    """Whether each sample comes back within single precision's reach."""
+    frame, (old, new) = together(s.gray, back)
+    return frame.select(*KEYS, (F.abs(old[0].cast("double") - new[0].cast("double")) < 1e-5).alias("restored"))
+
+
+_RESTORED = f"WITH {EV} SELECT rid, y, x, true AS restored FROM ev"
+query("frequency_recombine", lambda s: _restored(s, frequency.recombine(frequency.laplacian_split(s.gray, 3))), _RESTORED)
 _ANG = f"2 * pi() * (CAST((kx * x) % {W} AS DOUBLE) / {W} + CAST((ky * y) % {H} AS DOUBLE) / {H})"
 _DFT = f"sp AS (SELECT rid, CAST(ky AS INT) AS ky, CAST(kx AS INT) AS kx, sum(CAST(c0 AS DOUBLE) * cos({_ANG})) AS re, -sum(CAST(c0 AS DOUBLE) * sin({_ANG})) AS im FROM ev, range({W}) a(kx), range({H}) b(ky) GROUP BY rid, ky, kx)"
 query("frequency_fft2", lambda s: frequency.fft2(s.gray).select("rid", "ky", "kx", *rounded(["re_0", "im_0"], 2)), f"WITH {EV}, {_DFT} SELECT rid, ky, kx, round(CAST(CAST(re AS FLOAT) AS DOUBLE), 2) + 0.0 AS re_0, round(CAST(CAST(im AS FLOAT) AS DOUBLE), 2) + 0.0 AS im_0 FROM sp")
-query("frequency_ifft2", lambda s: show(frequency.ifft2(frequency.fft2(s.gray), s.gray), 3), pixels("c0", digits=3))
+query("frequency_ifft2", lambda s: _restored(s, frequency.ifft2(frequency.fft2(s.gray), s.gray)), _RESTORED)
 query("frequency_bandpass", lambda s: show(frequency.bandpass(s.gray, 0.05, 0.3), 3))
 
 # Topology and solvers
@@ -360,12 +369,13 @@ query("optimize_local", lambda s: solvers.optimize_local(s.gray, s.field, s.mask
 
 
 def _small(s: Scene, of: Raster) -> Raster:
-    return geometry.crop(of, 0, 0, 24, H)
+    return geometry.crop(of, 0, 0, 12, H)
 
 
 _CLAMP = lambda v, n: f"least(greatest({v}, 0), {n - 1})"
-_PATCH = f"""e AS (SELECT rid, y, x, c0, b0 FROM ev WHERE x < 24), pt AS (SELECT a.rid, a.y, a.x, i, j, CAST(t.b0 AS DOUBLE) AS v FROM e a, range(-1, 2) p(i), range(-1, 2) q(j), e t WHERE t.rid = a.rid AND t.x = {_CLAMP('a.x + i', 24)} AND t.y = {_CLAMP('a.y + j', H)}),
-ps AS (SELECT a.rid, a.y, a.x, i, j, CAST(t.c0 AS DOUBLE) AS v FROM e a, range(-1, 2) p(i), range(-1, 2) q(j), e t WHERE t.rid = a.rid AND t.x = {_CLAMP('a.x + i', 24)} AND t.y = {_CLAMP('a.y + j', H)}),
+_PATCH = f"""e AS MATERIALIZED (SELECT rid, y, x, c0, b0 FROM ev WHERE x < 12),
+tap AS MATERIALIZED (SELECT rid, y, x, i, j, {_CLAMP('x + i', 12)} AS tx, {_CLAMP('y + j', H)} AS ty FROM e, range(-1, 2) p(i), range(-1, 2) q(j)),
+pt AS MATERIALIZED (SELECT tap.rid, tap.y, tap.x, i, j, CAST(t.b0 AS DOUBLE) AS v, CAST(t.c0 AS DOUBLE) AS u FROM tap JOIN e t ON t.rid = tap.rid AND t.x = tx AND t.y = ty), ps AS (SELECT rid, y, x, i, j, u AS v FROM pt),
 k AS (SELECT pt.rid, pt.y, pt.x, ps.y AS sy, ps.x AS sx, sum((pt.v - ps.v) * (pt.v - ps.v) ORDER BY pt.j, pt.i) AS cost FROM pt JOIN ps ON pt.rid = ps.rid AND pt.i = ps.i AND pt.j = ps.j GROUP BY ALL),
 best AS (SELECT rid, y, x, first(sx ORDER BY cost, sy, sx) AS src_x, first(sy ORDER BY cost, sy, sx) AS src_y, min(cost) AS cost FROM k GROUP BY rid, y, x)"""
 query("repair_patch_field", lambda s: solvers.patch_field(_small(s, s.gray), _small(s, s.field), 1).select(*KEYS, "src_x", "src_y", *rounded(["cost"])),
@@ -405,14 +415,15 @@ query("analyze_frequency_energy", lambda s: reports.frequency_energy(s.gray, 3,
 
 def _verdict_sql(excess: str, bad: str, source: str, ctes: str) -> str:
     order = f"{excess} DESC, y, x"
-    return f"WITH {ctes} SELECT rid, count(*) FILTER ({bad}) = 0 AS passed, count(*) FILTER ({bad}) AS n, round(first({excess} ORDER BY {order}) FILTER ({bad}), 5) + 0.0 AS excess, first(y ORDER BY {order}) FILTER ({bad}) AS y, first(x ORDER BY {order}) FILTER ({bad}) AS x FROM {source} GROUP BY rid"
+    return f"WITH {ctes} SELECT rid, count(*) FILTER ({bad}) = 0 AS passed, count(*) FILTER ({bad}) AS n, coalesce(round(first({excess} ORDER BY {order}) FILTER ({bad}), 5), -1) + 0.0 AS excess, coalesce(first(y ORDER BY {order}) FILTER ({bad}), -1) AS y, coalesce(first(x ORDER BY {order}) FILTER ({bad}), -1) AS x FROM {source} GROUP BY rid"
 
 
 def _verdict(rows: DataFrame) -> DataFrame:
-    return rows.select("rid", "passed", "n", *rounded(["excess"]), "y", "x")
+    """-1 stands where nothing is wrong."""
+    return rows.fillna(-1).select("rid", "passed", "n", *rounded(["excess"]), "y", "x")
 
 
-query("assert_finite", lambda s: _verdict(reports.assert_finite(s.rgba)), f"WITH {EV} SELECT rid, true AS passed, CAST(0 AS BIGINT) AS n, NULL::DOUBLE AS excess, NULL::INT AS y, NULL::INT AS x FROM ev GROUP BY rid")
+query("assert_finite", lambda s: _verdict(reports.assert_finite(s.rgba)), f"WITH {EV} SELECT rid, true AS passed, CAST(0 AS BIGINT) AS n, -1.0::DOUBLE AS excess, CAST(-1 AS INT) AS y, CAST(-1 AS INT) AS x FROM ev GROUP BY rid")
 _EXC = "greatest(" + ", ".join(f"0.05::DOUBLE - {c}, {c} - 0.95::DOUBLE" for c in (D(c) for c in RGBA)) + ", 0)"
 query("assert_range", lambda s: _verdict(reports.assert_range(s.rgba, 0.05, 0.95)), _verdict_sql("e", "e > 0", "ex", f"{EV}, ex AS (SELECT *, {_EXC} AS e FROM ev)"))
 _ALPHA = "greatest(" + ", ".join(f"abs({D(c)}) - {D('c3')}" for c in RGBA[:3]) + f", -{D('c3')}, {D('c3')} - 1, 0)"
@@ -427,7 +438,7 @@ def _leak_free(s: Scene) -> DataFrame:
     return _verdict(reports.assert_no_change_outside_mask(s.rgba, paint.masked_replace(edited, s.rgba, box), box))
 
 
-query("masked_edit_flow", _leak_free, f"WITH {EV} SELECT rid, true AS passed, CAST(0 AS BIGINT) AS n, NULL::DOUBLE AS excess, NULL::INT AS y, NULL::INT AS x FROM ev GROUP BY rid")
+query("masked_edit_flow", _leak_free, f"WITH {EV} SELECT rid, true AS passed, CAST(0 AS BIGINT) AS n, -1.0::DOUBLE AS excess, CAST(-1 AS INT) AS y, CAST(-1 AS INT) AS x FROM ev GROUP BY rid")
 
 
 def _preserved(s: Scene) -> DataFrame:
