@@ -129,22 +129,24 @@ def among(rows: np.ndarray, keys: np.ndarray, found_rows: np.ndarray, found_keys
 
 
 def with_copies(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text``, and ``copy`` (whether a smaller id has the very same text) of the rows with an id.
+    """``doc_id``, ``text``, further columns, and ``copy`` (whether a smaller id has the very same text) of the rows with an id.
 
     The texts are dealt out by id here, once: the later joins by id use the same exchange, as long as none of them
     filters the documents in another way. Whole texts are compared by their MD5 digest and length; groups are
     pre-aggregated, and only ids and digests are joined.
     """
     docs = docs.where(F.col("doc_id").isNotNull())
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
     keyed = docs.where(F.col("text").isNotNull()).select("doc_id", F.unhex(F.md5("text")).alias("digest"), F.length("text").alias("size"))
     groups = keyed.groupBy("digest", "size").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     copies = keyed.join(groups, ["digest", "size"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("digest").alias("copied"))
-    joined = docs.select("doc_id", "text").join(copies.hint("shuffle_hash"), "doc_id", "left")
-    return joined.select("doc_id", "text", F.coalesce(F.array_contains("copied", F.unhex(F.md5("text"))), F.lit(False)).alias("copy"))
+    joined = docs.select("doc_id", "text", *others).join(copies.hint("shuffle_hash"), "doc_id", "left")
+    return joined.select("doc_id", "text", *others, F.coalesce(F.array_contains("copied", F.unhex(F.md5("text"))), F.lit(False)).alias("copy"))
 
 
 def with_found(docs: DataFrame, base: DataFrame, found: DataFrame) -> DataFrame:
-    """``doc_id``, ``text``, ``copy`` and ``found`` of all rows of ``docs``; rows with a null id have neither."""
-    joined = base.join(found.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "copy", "found")
-    nameless = docs.where(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<binary>").alias("found"))
+    """``doc_id``, ``text``, further columns, ``copy`` and ``found`` of all rows of ``docs``; rows with a null id have neither."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    joined = base.join(found.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", *others, "copy", "found")
+    nameless = docs.where(F.col("doc_id").isNull()).select("doc_id", "text", *others, F.lit(False).alias("copy"), F.lit(None).cast("array<binary>").alias("found"))
     return joined.unionByName(nameless)

@@ -114,5 +114,46 @@ def dedup(docs: DataFrame) -> DataFrame:
     return with_found(docs, base, found).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
+def rewrite(docs: DataFrame) -> DataFrame:
+    """``docs`` with the removed words cut out of ``text``, each with the space after it; all columns and rows stay.
+
+    Texts that lose nothing keep every byte. ``n_chars``, if there is such a column, counts the new text.
+    """
+    columns = docs.columns
+    rest = [c for c in columns if c not in ("doc_id", "text")]
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in rest]).alias("rest")) if rest else docs.select("doc_id", "text")
+    base, found = removals(packed)
+    fields = ["doc_id", "text", *(["rest"] if rest else [])]
+    schema = with_found(packed, base, found).select(*fields).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                words, gone = removed_words(piece)
+                text = piece.column("text")
+                changed = np.unique(words.doc[gone])
+                if len(changed):
+                    # A removed word goes up to where the next word of its document starts, or to its end.
+                    upto = np.append(words.start[1:], len(words.raw))
+                    last = words.index + 1 == words.count[words.doc]
+                    upto[last] = words.offsets[1:][words.doc[last]]
+                    edge = np.zeros(len(words.raw) + 1, dtype=np.int64)
+                    np.add.at(edge, words.start[gone], 1)
+                    np.add.at(edge, upto[gone], -1)
+                    stays = np.cumsum(edge[:-1]) == 0
+                    new = text.to_pylist()
+                    for i in changed:
+                        a, b = words.offsets[i], words.offsets[i + 1]
+                        new[i] = words.raw[a:b][stays[a:b]].tobytes().decode().rstrip(" \t\n\v\f\r")
+                    text = pa.array(new, pa.string())
+                yield pa.RecordBatch.from_arrays([text if f == "text" else piece.column(f) for f in fields], fields)
+
+    out = with_found(packed, base, found).mapInArrow(run, schema)
+    named = {c: F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c) for c in columns}
+    if "n_chars" in named:
+        named["n_chars"] = F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(named["n_chars"])
+    return out.select(*[named[c].alias(c) for c in columns])
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(documents(spark, sf_dir)).drop("kept")
