@@ -108,8 +108,8 @@ class CrossParser:
             row, col = np.nonzero(to == 0)
             if len(row):
                 phrases[row, col] += t > 0
-                again = self.step[self.root[row] * self.width + symbol[col]]
-                to[row, col] = np.where(again == 0, self.root[row], again)
+                # A byte that the language lacks is a phrase of its own: the dead state ends it at the next byte.
+                to[row, col] = self.step[self.root[row] * self.width + symbol[col]]
             state[:, :k] = to
         out = np.zeros((len(size), n))
         for k in range(n):
