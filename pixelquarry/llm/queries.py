@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
+from . import oracles
 from .byte_bpe import op7_byte_bpe
 from .decontaminate import op5_decontaminate
 from .language_id import op8_language_id
@@ -29,4 +30,6 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+ORACLES = {"op2_warc": oracles.OP2_WARC, "op6_substring_dedup": oracles.OP6_SUBSTRING_DEDUP}
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
