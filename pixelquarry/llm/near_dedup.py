@@ -5,8 +5,10 @@ id; only representatives go on. Each gets ``BANDS * ROWS`` minima: the bands' ha
 low ``BITS`` bits of each minimum, packed into longs, estimate the similarity of a pair: the share of equal codes,
 corrected for codes that agree by chance. Pairs whose estimate is within reach are confirmed on the full sets.
 
-In each bucket of a band all members are first held against the least one. Buckets that still hold
-several components then try every pair across components, so no candidate of a bucket is left untried unless a path of
+In each bucket of a band all members are first held against the least one. Where a bucket still holds
+several components, its members are put in a hashed order, a bounded number to a stretch, and each tries the one before it
+if that is of another component; a few such rounds join groups whose members aren't all like one of them. What is
+still apart then tries every pair across components, so no candidate of a bucket is left untried unless a path of
 confirmed links joins it already. A pair at similarity 0.8 shares no band with a chance of about 5e-8.
 
 Defined results: words are runs of bytes other than 0x20 and 0x09-0x0D with A-Z lower-cased; a text with fewer words
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -30,8 +32,11 @@ from .textbytes import Words, byte_view, lower_ascii, mix64, pieces, window_hash
 BANDS, ROWS = 32, 4
 BITS = 4
 PERCENT = 80
-#: How far below the threshold an estimate may lie: over six standard deviations of 128 codes.
-SLACK = 0.25
+#: How far below the threshold an estimate may lie: over four standard deviations of 128 codes at 0.8.
+SLACK = 0.16
+#: Rounds in which members of a bucket try a neighbour of another component, and how many stand in one order.
+ROUNDS = 3
+NEIGHBOURS = 64
 
 _rng = np.random.Generator(np.random.PCG64(99))
 _TIMES = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -135,6 +140,14 @@ def confirmed(pairs: DataFrame, codes: DataFrame, docs: DataFrame, shingle: int,
     return held.select("a", "b", "text_a", "text_b").mapInArrow(exact, "a long, b long").distinct()
 
 
+def _apart(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, with their ``label`` and the largest component's, ``top``."""
+    labelled = shared.join(found, "node", "left").select("bucket", "band", "members", "node", F.coalesce("label", "node").alias("label"))
+    parts = labelled.groupBy("bucket", "band", "label").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("bucket", "band").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    return labelled.join(largest.select("bucket", "band", F.col("top.label").alias("top")), ["bucket", "band"])
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of each row."""
     signed = stored(signatures(docs, shingle), "signatures")
@@ -143,22 +156,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -
     chosen = usable.join(classes.select("digest", F.col("representative").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id", "digest"])
     codes = stored(chosen.select("doc_id", "n_shingles", "codes", "bands"), "representatives")
 
-    buckets = codes.select("doc_id", F.explode("bands").alias("bucket"))
-    heads = buckets.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a < last").drop("last")
-    shared = stored(buckets.join(heads, "bucket").select("bucket", "a", F.col("doc_id").alias("b")), "buckets")
-    tried = stored(shared.where("a < b").select("a", "b").distinct(), "stars")
+    buckets = codes.select(F.col("doc_id").alias("node"), F.posexplode("bands").alias("band", "bucket"))
+    heads = buckets.groupBy("bucket", "band").agg(F.min("node").alias("a"), F.max("node").alias("last"), F.count("*").alias("members")).where("a < last").drop("last")
+    shared = stored(buckets.join(heads, ["bucket", "band"]), "buckets")
+    tried = stored(shared.where("a < node").select("a", F.col("node").alias("b")).distinct(), "stars")
     links = stored(confirmed(tried, codes, docs, shingle, percent), "links")
     found = components(links)
 
-    # Buckets with several components: each member outside the largest one against those of other components.
-    labelled = shared.select("bucket", F.col("b").alias("node")).distinct().join(found, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    parts = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    largest = parts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("top.label").alias("top"))
-    open_ = stored(labelled.join(largest, "bucket").join(codes.select(F.col("doc_id").alias("node"), "n_shingles", "codes"), "node"), "open-buckets")
-    outer = open_.where("label <> top").select("bucket", *[F.col(c).alias(f"{c}_o") for c in ("node", "label", "n_shingles", "codes")])
-    near = (F.col("label") != F.col("label_o")) & (100 * F.least("n_shingles", "n_shingles_o") >= percent * F.greatest("n_shingles", "n_shingles_o"))
+    for turn in range(ROUNDS):
+        apart = _apart(shared, found)
+        stretch = F.pmod(F.xxhash64("node", F.lit(turn)), F.floor(F.col("members") / NEIGHBOURS) + 1)
+        line = Window.partitionBy("bucket", "band", stretch).orderBy(F.xxhash64(F.lit(turn), "node"), "node")
+        pairs = apart.select("node", "label", F.lag("node").over(line).alias("other"), F.lag("label").over(line).alias("other_label")).where("label <> other_label")
+        pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "neighbours")
+        more = stored(confirmed(pairs, codes, docs, shingle, percent), "links")
+        tried, links = tried.union(pairs), links.union(more)
+        if more.isEmpty():
+            break
+        found = components(links)
+
+    # Each member outside a bucket's largest component against those of other components, in the first band that both share.
+    rest = _apart(shared, found).join(codes.select(F.col("doc_id").alias("node"), "n_shingles", "codes", "bands"), "node")
+    rest = stored(rest.select("bucket", "band", "node", "label", "top", "n_shingles", "codes", "bands"), "open-buckets")
+    outer = rest.where("label <> top").select(*[F.col(c).alias(f"{c}_o") for c in rest.columns])
+    near = (F.col("bucket") == F.col("bucket_o")) & (F.col("band") == F.col("band_o")) & (F.col("label") != F.col("label_o"))
+    near &= 100 * F.least("n_shingles", "n_shingles_o") >= percent * F.greatest("n_shingles", "n_shingles_o")
     near &= estimate(F.col("codes"), F.col("codes_o")) >= percent / 100 - SLACK
-    across = open_.join(outer, (open_["bucket"] == outer["bucket"]) & near).select(F.least("node", "node_o").alias("a"), F.greatest("node", "node_o").alias("b")).distinct()
+    near &= F.array_position(F.zip_with("bands", "bands_o", lambda x, y: x == y), True) == F.col("band") + 1
+    across = rest.join(outer, near).select(F.least("node", "node_o").alias("a"), F.greatest("node", "node_o").alias("b")).distinct()
     across = stored(across.join(tried, ["a", "b"], "left_anti"), "across")
     if not across.isEmpty():
         more = stored(confirmed(across, codes, docs, shingle, percent), "links")
