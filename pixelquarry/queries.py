@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,8 +82,44 @@ query("image_create", lambda s: show(generate.create(s.spark, 40, 30, "rgba", [0
       "SELECT CAST(0 AS BIGINT) AS rid, CAST(i // 40 AS INT) AS y, CAST(i % 40 AS INT) AS x, 0.25::DOUBLE AS c0, 0.5::DOUBLE AS c1, 0.75::DOUBLE AS c2, 1.0::DOUBLE AS c3 FROM range(1200) t(i)")
 
 
-query("field_noise", lambda s: show(generate.noise(s.spark, 48, 32, frequency=6.0, seed=11)))
-query("field_fbm", lambda s: show(generate.fbm(s.spark, 48, 32, frequency=3.0, seed=5, octaves=3)))
+
+
+def _lattice_sql(name: str, nx: int, ny: int, seed: int) -> str:
+    """Lattice values by 64-bit arithmetic on 128-bit integers, a step a table."""
+    m, u = "18446744073709551616::UHUGEINT", "::UHUGEINT"
+    parts = [f"{name}_0 AS (SELECT CAST(gx AS INT) AS gx, CAST(gy AS INT) AS gy, xor({seed}{u}, (gx{u} * {0x9E3779B97F4A7C15}{u}) % {m}) AS z FROM range({nx}) a(gx), range({ny}) b(gy))"]
+    n = 0
+    for last in (False, True):
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            parts.append(f"{name}_{n + 1} AS (SELECT gx, gy, (xor(z, z // {1 << shift}{u}) * {times}{u}) % {m} AS z FROM {name}_{n})")
+            n += 1
+        done = f"xor(z, z // {1 << 31}{u})"
+        out = f"CAST({done} // {1 << 40}{u} AS DOUBLE) / {1 << 24} * 2 - 1 AS v" if last else f"xor({done}, (gy{u} * {0xC2B2AE3D27D4EB4F}{u}) % {m}) AS z"
+        parts.append(f"{name}_{n + 1} AS (SELECT gx, gy, {out} FROM {name}_{n})")
+        n += 1
+    return ", ".join(parts) + f", {name} AS (SELECT * FROM {name}_{n})"
+
+
+def _noise_sql(octaves: list[tuple[float, float, int]], w: int, h: int, digits: int = 4) -> str:
+    """Octaves of (frequency, amplitude, lattice seed)."""
+    ctes, joins, total = [f"px AS (SELECT CAST(i // {w} AS INT) AS y, CAST(i % {w} AS INT) AS x FROM range({w * h}) t(i))"], "px", []
+    for k, (frequency, amplitude, seed) in enumerate(octaves):
+        scale = frequency / generate.FREQUENCY_PIXELS
+        ctes.append(_lattice_sql(f"n{k}", int(w * scale) + 3, int(h * scale) + 3, seed))
+        fx, fy = f"((x + 0.5::DOUBLE) * {scale!r}::DOUBLE)", f"((y + 0.5::DOUBLE) * {scale!r}::DOUBLE)"
+        for i, j in ((0, 0), (1, 0), (0, 1), (1, 1)):
+            joins += f" JOIN n{k} AS n{k}_{i}{j} ON n{k}_{i}{j}.gx = floor({fx}) + {i} AND n{k}_{i}{j}.gy = floor({fy}) + {j}"
+        fade = lambda t: f"({t} * {t} * {t} * ({t} * ({t} * 6 - 15) + 10))"
+        tx, ty = fade(f"({fx} - floor({fx}))"), fade(f"({fy} - floor({fy}))")
+        top, low = (f"((n{k}_1{j}.v - n{k}_0{j}.v) * {tx} + n{k}_0{j}.v)" for j in (0, 1))
+        total.append(f"{amplitude!r}::DOUBLE * (({low} - {top}) * {ty} + {top})")
+    scale = sum(a for _, a, _ in octaves)
+    return f"WITH {', '.join(ctes)} SELECT CAST(0 AS BIGINT) AS rid, y, x, round(CAST(CAST(({' + '.join(total)}) / {scale!r}::DOUBLE AS FLOAT) AS DOUBLE), {digits}) + 0.0 AS c0 FROM {joins}"
+
+
+query("field_noise", lambda s: show(generate.noise(s.spark, 48, 32, frequency=6.0, seed=11), 4), _noise_sql([(6.0, 1.0, 11)], 48, 32))
+query("field_fbm", lambda s: show(generate.fbm(s.spark, 48, 32, frequency=3.0, seed=5, octaves=3), 4),
+      _noise_sql([(3.0 * 2**o, 0.5**o, int(generate.mix64(np.uint64(5) ^ np.uint64(o + 1)))) for o in range(3)], 48, 32))
 _Q = "CAST(floor(least(greatest(CAST({0} AS DOUBLE), 0), 1) * 255 + 0.5) AS INT)"
 query("io_encode_image", lambda s: s.rgba.frame.select(*KEYS, *[png.quantized(c).alias(f"c{i}") for i, c in enumerate(s.rgba.channels)]),
       f"WITH {EV} SELECT rid, y, x, {', '.join(_Q.format(c) + f' AS c{i}' for i, c in enumerate(RGBA))} FROM ev")
