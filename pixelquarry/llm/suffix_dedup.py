@@ -31,7 +31,7 @@ from .textbytes import _TABLES, byte_view, mix64, pieces
 
 LENGTH = 50
 SEED = 24
-RUN = 128
+RUN = LENGTH - SEED + 1  # strings that can share one minimiser's place
 SEED_BYTES = 6
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -89,31 +89,66 @@ def run_hashes(text: np.ndarray, size: np.ndarray, table: int) -> np.ndarray:
     return mix64(np.add.reduceat(value, first) + size.astype(np.uint64))
 
 
+_BLOCK = 64
+_BEFORE = np.tri(_BLOCK, _BLOCK, -1, dtype=bool)
+
+
+def _ranks(transform: np.ndarray, at: np.ndarray, symbol: np.ndarray, symbols: int) -> np.ndarray:
+    """How often each symbol occurs in the transform before its place: counts by block, and the rest within the block."""
+    blocks = len(transform) // _BLOCK + 1
+    padded = np.zeros(blocks * _BLOCK, dtype=np.uint8)
+    padded[: len(transform)] = transform
+    counts = np.bincount(np.repeat(np.arange(blocks) * symbols, _BLOCK) + padded, minlength=blocks * symbols).reshape(blocks, symbols)
+    before = np.cumsum(counts, axis=0) - counts
+    block = at // _BLOCK
+    same = (padded.reshape(blocks, _BLOCK)[block] == symbol[:, None]) & _BEFORE[at % _BLOCK]
+    return before[block, symbol] + np.count_nonzero(same, axis=1)
+
+
 def sorted_suffixes(text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes of a collection in order: number of the text, and length.
 
-    Equal suffixes keep the order of their texts. Each round prepends a symbol to every suffix of the
-    round before, as a stable sort of the transform's symbols, and puts the empty suffixes first.
+    Equal suffixes keep the order of their texts. Each round inserts into the transform, for every text that has one, the
+    suffix that is one symbol longer: its place follows from the rank of its first symbol before the place of
+    the suffix of the round before. At the end the places of each text's suffixes are read off by following the ranks.
     """
-    n = len(size)
-    end = np.cumsum(size)
-    who, length = np.arange(n, dtype=np.int32), np.zeros(n, dtype=np.int16)
-    none, zero = who.copy(), length.copy()
-    padded = np.append(text, np.uint8(0))
-    for _ in range(int(size.max()) if n else 0):
-        left = length < size[who]
-        symbol = padded[end[who] - length - 1]
-        order = np.argsort(symbol[left], kind="stable")
-        who = np.concatenate((none, who[left][order]))
-        length = np.concatenate((zero, length[left][order] + np.int16(1)))
-    return who, length
+    n, end = len(size), np.cumsum(size)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    used, code = np.unique(text, return_inverse=True)
+    code = (code + 1).astype(np.uint8)  # 0 ends a text; UTF-8 leaves more than one byte value free
+    symbols = len(used) + 1
+    transform, at, active = code[end - 1], np.arange(n), np.arange(n)
+    for length in range(1, int(size.max()) + 1):
+        symbol = transform[at]
+        counts = np.bincount(transform, minlength=symbols)
+        counts[0] = n
+        place = (np.cumsum(counts) - counts)[symbol] + _ranks(transform, at, symbol, symbols)
+        order = np.argsort(symbol, kind="stable")
+        active, place = active[order], place[order]
+        new = np.where(size[active] > length, code[end[active] - np.minimum(length + 1, size[active])], np.uint8(0))
+        old = np.ones(len(transform) + len(place), dtype=bool)
+        old[place] = False
+        grown = np.empty(len(old), dtype=np.uint8)
+        grown[old] = transform
+        grown[place] = new
+        transform, at, active = grown, place[new > 0], active[new > 0]
+    follow = np.empty(len(transform), dtype=np.int64)
+    follow[np.argsort(transform, kind="stable")] = np.arange(len(transform))  # the texts' ends come first, as do the empty suffixes
+    who, lengths = np.empty(len(transform), np.int64), np.empty(len(transform), np.int64)
+    at, active = np.arange(n), np.arange(n)
+    for length in range(int(size.max()) + 1):
+        who[at], lengths[at] = active, length
+        longer = size[active] > length
+        at, active = follow[at[longer]], active[longer]
+    return who, lengths
 
 
 def repeated(ids: np.ndarray, text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Text number and offset of each string of LENGTH bytes that a text with a smaller id has too."""
     who, length = sorted_suffixes(text, size)
     whole = length >= LENGTH
-    who, length = who[whole].astype(np.int64), length[whole].astype(np.int64)
+    who, length = who[whole], length[whole]
     at = np.cumsum(size)[who] - length
     if not len(at):
         return who, at
@@ -210,6 +245,18 @@ def repeats(docs: DataFrame) -> DataFrame:
             key = np.concatenate([np.frombuffer(r[2], np.uint64) for r in sent])
             size = np.concatenate([np.frombuffer(r[3], np.uint8) for r in sent]).astype(np.int64)
             text = np.concatenate([np.frombuffer(r[4], np.uint8) for r in sent])
+            more = run_hashes(text, size, 1)
+            order = np.lexsort((ids, more, key))
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (key[order][1:] != key[order][:-1]) | (more[order][1:] != more[order][:-1])
+            least = ids[order][new][np.cumsum(new) - 1]
+            again = order[ids[order] > least]  # the same run in a document with a smaller id: all of it goes
+            told.append(ids[again])
+            records.append(_records(key[again], 0 * again, size[again] - LENGTH))
+            once = np.sort(order[new])
+            first = np.cumsum(size) - size
+            at = np.arange(int(size[once].sum())) + np.repeat(first[once] - (np.cumsum(size[once]) - size[once]), size[once])
+            ids, key, size, text = ids[once], key[once], size[once], text[at]
             who, offset = repeated(ids, text, size)
             order = np.lexsort((offset, who))
             who, offset = who[order], offset[order]
