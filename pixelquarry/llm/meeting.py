@@ -45,10 +45,12 @@ def _found(ids: np.ndarray, first: np.ndarray, group: np.ndarray, smaller: bool)
 
 
 def _rows(bucket: np.ndarray, ids: np.ndarray, keys: np.ndarray, more: np.ndarray, settled: bool, width: int, wide: bool) -> list[tuple]:
+    if not len(bucket):
+        return []
     order = np.lexsort((ids, bucket))
     bucket, ids, keys, more = bucket[order], ids[order], keys[order], more[order]
     rows = []
-    cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else []
+    cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
     for a, b in zip(cut, [*cut[1:], len(bucket)], strict=True):
         run = np.flatnonzero(np.concatenate(([True], ids[a + 1 : b] != ids[a : b - 1])))
         counts = np.diff(np.append(run, b - a)).astype(np.int32)
