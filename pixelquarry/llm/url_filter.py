@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import url_words
 from .tables import table
 
 BUCKETS = 4096
@@ -23,13 +24,6 @@ STEPS, RATE, DECAY = 150, 0.5, 0.01
 #: (verdict, host, path) of the contract.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
-#: Words of hosts and paths from which the labelled table is built.
-BLOCK_WORDS = ["casino-win", "poker-night", "cheap-pills", "payday-loan", "free-bets", "spam-farm", "ads-track", "adult-x", "warez-crack", "click-bait"]
-ALLOW_WORDS = ["library", "museum", "encyclopedia", "university", "recipes", "weather", "gardening", "handbook", "history", "physics"]
-ALLOW_WORDS += ["thethen", "tionther", "ninthson", "hereand", "onereth", "heather", "orthing", "waterton", "northend", "ashenden"]
-ALLOW_WORDS += ["city-news", "open-data", "home-school", "bus-times"]
-SHAPES = ["https://www.{0}.test/en/{1}", "http://m.{0}.test/de/{1}.html", "https://blog.{0}.test/fr/{1}?page=2", "http://{0}.test/es/{1}/"]
-
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,9 +36,8 @@ def path_of(url: Column) -> Column:
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The default training table: ``url`` and ``label`` (1 is block), from the word lists and shapes."""
-    rows = [(s.format(w, 100 + 7 * i), y) for y, words in ((1.0, BLOCK_WORDS), (0.0, ALLOW_WORDS)) for i, w in enumerate(words) for s in SHAPES]
-    row = F.explode(F.array(*[F.struct(F.lit(u).alias("url"), F.lit(y).alias("label")) for u, y in rows]))
+    """The default training table: ``url`` and ``label`` (1 is block), see ``url_words`` for where it comes from."""
+    row = F.explode(F.array(*[F.struct(F.lit(u).alias("url"), F.lit(y).alias("label")) for u, y in url_words.labelled()]))
     return spark.range(1).select(row.alias("r")).select("r.url", "r.label")
 
 

@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pixelquarry.llm import byte_bpe, decontaminate, language_id, near_dedup, quality_classifier, quality_rules, substring_dedup, suffix_dedup, url_filter, warc
+from pixelquarry.llm import byte_bpe, decontaminate, language_id, near_dedup, quality_classifier, quality_rules, substring_dedup, suffix_dedup, url_filter, url_words, warc
 from pixelquarry.llm.graph import components
 from pixelquarry.llm.queries import QUERIES
 from pixelquarry.llm.tables import new_folder
@@ -420,6 +420,19 @@ def test_the_model_knows_its_urls_and_their_like(spark):
     assert {r["page_id"]: r["verdict"] for r in url_filter.judge(fresh, model, []).collect()} == {1: "block", 2: "allow"}
 
 
+def test_the_model_blocks_bad_hosts_it_was_not_shown(spark):
+    table = [u for u, _ in url_words.labelled()]
+    assert not any(h in u for h in ("casino-win", "free-bets", "ads-track", "spam-farm", "cheap-pills", "adult-x") for u in table)  # hosts of the test tables
+    hosts = url_words.HELD_OUT_KNOWN + url_words.HELD_OUT_NEW
+    assert not any(h in u for h, _ in hosts for u in table)
+    pages = spark.createDataFrame([(i, f"https://www.{h}.test/en/7") for i, (h, _) in enumerate(hosts)], "page_id long, url string")
+    verdict = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, url_filter.train(url_filter.labelled_urls(spark)), []).collect()}
+    known = range(len(url_words.HELD_OUT_KNOWN))
+    bad = [verdict[i] == "block" for i in known if hosts[i][1]]
+    good = [verdict[i] == "allow" for i in known if not hosts[i][1]]
+    assert sum(bad) >= 0.8 * len(bad) and sum(good) >= 0.9 * len(good)
+
+
 def test_native_operators_run_no_python(spark):
     for name in ("op10_url_filter", "op5_decontaminate"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
