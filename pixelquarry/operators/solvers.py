@@ -142,11 +142,15 @@ def optimize_local(init: Raster, target: Raster, mask: Raster, data_weight: floa
     return _solve([init, target, mask], kernel, len(init.channels), {"iterations": "int"})
 
 
-def patch_field(source: Raster, target: Raster, radius: int) -> DataFrame:
+def patch_field(source: Raster, target: Raster, radius: int, target_mask: Raster | None = None, source_mask: Raster | None = None) -> DataFrame:
     """``src_x``, ``src_y``, ``cost``: for each pixel of the target the source patch of least squared distance, the first in raster order.
 
-    The exact nearest patch over all anchors, rather than a seeded search that approaches it.
+    The exact nearest patch over all anchors, rather than a seeded search that approaches it. Only pixels over 0.5 of
+    ``target_mask`` are matched, the others keep their own place at cost 0; only those of ``source_mask`` are anchors, and without
+    any a matched pixel keeps its place at infinite cost.
     """
+    masks = [m for m in (target_mask, source_mask) if m is not None]
+    some_wanted, some_anchors = target_mask is not None, source_mask is not None  # the kernel can't hold the rasters
 
     def patches(grids: list[np.ndarray]) -> np.ndarray:
         h, w = grids[0].shape
@@ -158,16 +162,22 @@ def patch_field(source: Raster, target: Raster, radius: int) -> DataFrame:
 
     def kernel(grids):
         s, t = patches(grids[0]), patches(grids[1])
-        best, cost = np.zeros(len(t), dtype=np.int64), np.zeros(len(t))
-        for a in range(0, len(t), 64):  # a strip of target pixels against all anchors
-            d = np.zeros((len(t[a : a + 64]), len(s)))
+        best, cost = np.arange(len(t)), np.zeros(len(t))
+        wanted = np.flatnonzero(grids[2][0].ravel() > 0.5) if some_wanted else best.copy()
+        anchors = np.flatnonzero(grids[-1][0].ravel() > 0.5) if some_anchors else np.arange(len(s))
+        if not len(anchors):
+            cost[wanted], wanted = np.inf, wanted[:0]
+        s = s[anchors]
+        for a in range(0, len(wanted), 64):  # a strip of target pixels against all anchors
+            at = wanted[a : a + 64]
+            d = np.zeros((len(at), len(s)))
             for k in range(s.shape[1]):
-                d += (t[a : a + 64, k, None] - s[None, :, k]) ** 2
-            best[a : a + 64], cost[a : a + 64] = d.argmin(axis=1), d.min(axis=1)
+                d += (t[at, k, None] - s[None, :, k]) ** 2
+            best[at], cost[at] = anchors[d.argmin(axis=1)], d.min(axis=1)
         w = grids[0][0].shape[1]
         return [], ((best % w).astype(np.int32), (best // w).astype(np.int32), cost)
 
-    return _solve([source, target], kernel, 0, {"src_x": "int", "src_y": "int", "cost": "double"})
+    return _solve([source, target, *masks], kernel, 0, {"src_x": "int", "src_y": "int", "cost": "double"})
 
 
 def patch_synthesize(source: Raster, target: Raster, field: DataFrame, hole: Raster) -> Raster:

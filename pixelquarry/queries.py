@@ -426,6 +426,18 @@ def _synth(s: Scene) -> DataFrame:
 
 query("repair_patch_synthesize", _synth, f"WITH {EV}, {_PATCH} SELECT best.rid, best.y, best.x, round(CAST(CASE WHEN t.m > 0.5 THEN s.c0 ELSE t.b0 END AS DOUBLE), 5) + 0.0 AS c0 FROM best JOIN ev t ON t.rid = best.rid AND t.y = best.y AND t.x = best.x JOIN ev s ON s.rid = best.rid AND s.y = src_y AND s.x = src_x")
 
+
+# The two above and their twins see the first 12 columns only; these two are the whole job, without a twin.
+query("repair_patch_field_whole", lambda s: solvers.patch_field(s.gray, s.field, 1).select(*KEYS, "src_x", "src_y", *rounded(["cost"])))
+
+
+def _synth_whole(s: Scene) -> DataFrame:
+    field = solvers.patch_field(s.gray, s.field, 1, target_mask=s.mask, source_mask=masks.invert(s.mask))
+    return show(solvers.patch_synthesize(s.gray, s.field, field, s.mask))
+
+
+query("repair_patch_synthesize_whole", _synth_whole)
+
 # Reports
 _LONG = f"{EV}, lg AS (" + " UNION ALL ".join(f"SELECT rid, y, x, {i} AS ch, CAST({c} AS DOUBLE) AS v, m FROM ev" for i, c in enumerate(RGBA)) + ")"
 query("image_inspect", lambda s: reports.inspect(s.rgba).select("rid", "ch", *rounded(["v_min", "v_max", "v_sum", "v_sum_sq"]), "n_finite", "n_nonfinite"),

@@ -132,6 +132,27 @@ def test_poisson_keeps_a_target_whose_gradients_it_gets(spark):
     assert np.allclose(got.sort_values(["y", "x"]).c0.to_numpy().reshape(8, 9), grid, atol=1e-3)
 
 
+def test_patches_are_matched_over_whole_rasters_and_within_masks(spark):
+    rng = np.random.default_rng(5)
+    source, target, hole = rng.random((4, 20)), rng.random((4, 20)), rng.random((4, 20)) > 0.6
+    around = lambda g, y, x: np.pad(g.astype(np.float32).astype(float), 1, mode="edge")[y : y + 3, x : x + 3]
+    r = [raster(spark, g) for g in (source, target, hole, ~hole, 0 * source)]
+    places = [(y, x) for y in range(4) for x in range(20)]
+    for more, wanted, anchors in (({}, places, places), ({"target_mask": r[2], "source_mask": r[3]}, [p for p in places if hole[p]], [p for p in places if not hole[p]]), ({"source_mask": r[3]}, places, [p for p in places if not hole[p]]), ({"target_mask": r[2], "source_mask": r[4]}, [p for p in places if hole[p]], [])):
+        got = {(g["y"], g["x"]): g for g in solvers.patch_field(r[0], r[1], 1, **more).collect()}
+        assert sorted(got) == places
+        for p in places:
+            cost, at = (min((((around(target, *p) - around(source, *q)) ** 2).sum(), q) for q in anchors) if anchors else (np.inf, p)) if p in wanted else (0.0, p)
+            assert (got[p]["src_y"], got[p]["src_x"]) == at and got[p]["cost"] == pytest.approx(cost)
+
+
+def test_the_whole_patch_queries_keep_every_pixel(spark):
+    n = queries.Scene(spark, SF).gray.table().count()
+    rows = queries.QUERIES["repair_patch_field_whole"](spark, SF).toPandas()
+    assert len(rows) == n and rows.src_x.max() >= 12
+    assert queries.QUERIES["repair_patch_synthesize_whole"](spark, SF).count() == n
+
+
 def test_bandpass_of_everything_is_the_image(spark):
     grid = np.random.default_rng(3).random((6, 8))
     assert np.allclose(values(frequency.bandpass(raster(spark, grid), 0.0, 1.0)), grid, atol=1e-5)
