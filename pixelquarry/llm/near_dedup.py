@@ -3,17 +3,18 @@
 A document is the set of its word shingles. Documents with equal sets are one class, represented by the least
 id; only representatives go on. Each gets ``BANDS * ROWS`` minima: the bands' hashes propose candidates, and the
 low ``BITS`` bits of each minimum, packed into longs, estimate the similarity of a pair: the share of equal codes,
-corrected for codes that agree by chance. Pairs whose estimate is within reach are confirmed on the full sets.
+corrected for codes that agree by chance. Members of a band's bucket whose estimate is within reach of the threshold
+make clusters. The full shingle set of each clustered document is sent once to its cluster, and all pairs of
+a cluster that no path of links joins are confirmed on these sets. Both steps work block against block inside tasks (``blocks.py``).
 
-In each bucket of a band all members are first held against the least one. Where a bucket still holds
-several components, its members are put in a hashed order, a bounded number to a stretch, and each tries the one before it
-if that is of another component; a few such rounds join groups whose members aren't all like one of them. What is
-still apart then tries every pair across components, so no candidate of a bucket is left untried unless a path of
-confirmed links joins it already. A pair at similarity 0.8 shares no band with a chance of about 5e-8.
+A pair at similarity 0.8 shares no band with a chance of about 5e-8, and its estimate falls below reach with about
+1e-5; it is lost then unless other links join the two.
 
 Defined results: words are runs of bytes other than 0x20 and 0x09-0x0D with A-Z lower-cased; a text with fewer words
 than a shingle is one shingle; a null or empty text has none and is linked with nothing; rows with one id
-are one node; rows with a null id are linked with nothing and kept.
+are one node; rows with a null id are linked with nothing and kept; repeated rows get equal results; an empty table gives
+an empty one; a pair at exactly ``percent`` is linked, and the least id names a group; other columns aren't read. A very long text is one
+set of its distinct shingles, some 8 bytes each, and a block of its own where it passes ``BLOCK_BYTES``.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import components
-from .tables import documents, stored
+from .blocks import Kernel, blocks_of, links_within
+from .tables import Scratch, documents, stored
 from .textbytes import Words, byte_view, lower_ascii, mix64, pieces, window_hashes
 
 BANDS, ROWS = 32, 4
@@ -34,9 +35,9 @@ BITS = 4
 PERCENT = 80
 #: How far below the threshold an estimate may lie: over four standard deviations of 128 codes at 0.8.
 SLACK = 0.16
-#: Rounds in which members of a bucket try a neighbour of another component, and how many stand in one order.
-ROUNDS = 3
-NEIGHBOURS = 64
+#: Bounds of what a task works out in one step: pairs of signatures, and columns of a 0-1 matrix.
+PAIRS_AT_ONCE = 200_000
+COLUMNS_AT_ONCE = 4096
 
 _rng = np.random.Generator(np.random.PCG64(99))
 _TIMES = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -97,55 +98,100 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, codes array<long>")
 
 
-def estimate(a: Column, b: Column) -> Column:
-    """Similarity from the packed codes: the share of equal ones, less what agrees by chance."""
-
-    def differing(x: Column, y: Column) -> Column:
-        bits = x.bitwiseXOR(y)
-        for step in (2, 1):  # a code differs where any of its bits does
-            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, step))
-        return F.bit_count(bits.bitwiseAND(F.lit(0x1111111111111111)))
-
-    total = BANDS * ROWS
-    equal = total - F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda t, n: t + n)
+def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarity of pairs of packed signatures: the share of equal codes, less what agrees by chance."""
+    bits = a ^ b
+    for step in (2, 1):  # a code differs where any of its bits does
+        bits |= bits >> np.uint64(step)
+    differing = np.bitwise_count(bits & np.uint64(0x1111111111111111)).sum(axis=1, dtype=np.int64)
     chance = 2.0**-BITS
-    return (equal / total - chance) / (1 - chance)
+    return (1 - differing / (BANDS * ROWS) - chance) / (1 - chance)
+
+
+def likely_pairs(percent: int) -> Kernel:
+    """Pairs within groups whose set sizes and estimated similarity are within reach of ``percent``."""
+
+    def kernel(table: pa.Table, first: np.ndarray, own: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        codes = table.column("codes").chunk(0).flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
+        size = table.column("n_shingles").to_numpy()
+        end = np.append(first, table.num_rows)[1:]
+        row = np.arange(table.num_rows)
+        group = np.searchsorted(first, row, "right") - 1
+        partners = np.where(row - first[group] < own[group], end[group] - row - 1, 0)  # of each row of role 0, those after it
+        total = np.cumsum(partners)
+        at = 0
+        while at < len(row):
+            upto = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")), at + 1)
+            n = partners[at:upto]
+            a = np.repeat(row[at:upto], n)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+            near = (label[a] != label[b]) & (100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b]))
+            a, b = a[near], b[near]
+            near = estimates(codes[a], codes[b]) >= percent / 100 - SLACK
+            yield a[near], b[near]
+            at = upto
+
+    return kernel
+
+
+def similar_pairs(percent: int) -> Kernel:
+    """Pairs within groups whose full shingle sets are similar enough: intersections by products of 0-1 matrices."""
+
+    def kernel(table: pa.Table, first: np.ndarray, own: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        packed = table.column("keys").to_pylist()
+        keys = np.frombuffer(b"".join(packed), dtype=np.uint64)
+        size = np.array([len(x) for x in packed], dtype=np.int64) // 8
+        bound = np.concatenate(([0], np.cumsum(size)))
+        for a, n, z in zip(first, own, np.append(first, table.num_rows)[1:], strict=True):
+            if not n or z - a < 2:
+                continue
+            _, code, times = np.unique(keys[bound[a] : bound[z]], return_inverse=True, return_counts=True)
+            several = times > 1
+            column_of = np.cumsum(several) - 1
+            entry = np.flatnonzero(several[code])
+            row, col = np.repeat(np.arange(z - a), size[a:z])[entry], column_of[code[entry]]
+            order = np.argsort(col, kind="stable")
+            row, col = row[order], col[order]
+            both = np.zeros((n, z - a), dtype=np.float32)
+            for low in range(0, int(several.sum()), COLUMNS_AT_ONCE):
+                i, j = np.searchsorted(col, (low, low + COLUMNS_AT_ONCE))
+                dense = np.zeros((z - a, COLUMNS_AT_ONCE if j - i > COLUMNS_AT_ONCE else max(int(col[j - 1]) - low + 1, 1)), dtype=np.float32)
+                dense[row[i:j], col[i:j] - low] = 1
+                both += dense[:n] @ dense.T
+            shared = both.astype(np.int64)
+            near = (shared > 0) & (100 * shared >= percent * (size[a : a + n, None] + size[None, a:z] - shared))
+            near &= label[a : a + n, None] != label[None, a:z]
+            x, y = np.nonzero(near)
+            yield a + x, a + y
+
+    return kernel
+
+
+def shingle_keys(texts: DataFrame, shingle: int) -> DataFrame:
+    """``keys`` (the sorted 64-bit hashes of the shingle set, packed) in the place of ``text``; other columns stay."""
+    others = [c for c in texts.columns if c != "text"]
+    schema = texts.select(*others).schema.add("keys", "binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, limit=1_000_000):
+                rows, keys = shingle_sets(piece.column("text"), shingle)
+                at = np.searchsorted(rows, np.arange(piece.num_rows + 1))
+                packed = pa.array([keys[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in others], packed], [*others, "keys"])
 
+    return texts.mapInArrow(run, schema)
 
-def confirmed(pairs: DataFrame, codes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Those of the ``a``-``b`` pairs of ids whose full shingle sets are similar enough."""
-    one = codes.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("codes").alias("codes_a"))
-    two = codes.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("codes").alias("codes_b"))
-    likely = pairs.join(one, "a").join(two, "b")
-    likely = likely.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (estimate(F.col("codes_a"), F.col("codes_b")) >= percent / 100 - SLACK))
-    likely = stored(likely.select("a", "b").distinct(), "candidates")
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for half in pieces(batch, "text_a"):
-                for piece in pieces(half, "text_b"):
-                    sets = [shingle_sets(piece.column(c), shingle) for c in ("text_a", "text_b")]
-                    n = [np.bincount(rows, minlength=piece.num_rows) for rows, _ in sets]
-                    rows, keys = (np.concatenate(x) for x in zip(*sets, strict=True))
-                    order = np.lexsort((keys, rows))
-                    rows, keys = rows[order], keys[order]
-                    both = np.bincount(rows[1:][(rows[1:] == rows[:-1]) & (keys[1:] == keys[:-1])], minlength=piece.num_rows)
-                    close = (100 * both >= percent * (n[0] + n[1] - both)) & (both > 0)
-                    yield pa.RecordBatch.from_arrays([piece.column("a"), piece.column("b")], ["a", "b"]).filter(pa.array(close))
-
-    named = likely.select("a").union(likely.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    texts = stored(docs.select("doc_id", "text").join(named, "doc_id"), "candidate-texts")
-    first = likely.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
-    held = first.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
-    return held.select("a", "b", "text_a", "text_b").mapInArrow(exact, "a long, b long").distinct()
-
-
-def _apart(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """The members of buckets that hold several components, with their ``label`` and the largest component's, ``top``."""
-    labelled = shared.join(found, "node", "left").select("bucket", "band", "members", "node", F.coalesce("label", "node").alias("label"))
-    parts = labelled.groupBy("bucket", "band", "label").agg(F.count("*").alias("n"))
-    largest = parts.groupBy("bucket", "band").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    return labelled.join(largest.select("bucket", "band", F.col("top.label").alias("top")), ["bucket", "band"])
+def clusters_of(codes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """``node`` and ``label``: components of the representatives whose signatures share a band and are within reach."""
+    buckets = codes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket"))  # the hash tells bands apart
+    heads = buckets.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("one"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("two"))
+    # Of buckets with the same members one is enough.
+    heads = heads.where("first < last").groupBy("first", "last", "n", "one", "two").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
+    shared = buckets.join(heads, "bucket").select(F.col("bucket").alias("grp"), "node", blocks_of(F.col("n"), F.lit(0)).alias("blocks"))
+    members = scratch.stored(shared.join(codes.select(F.col("doc_id").alias("node"), "n_shingles", "codes"), "node"), "buckets")
+    return links_within(members, likely_pairs(percent), scratch, "likely")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -153,43 +199,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -
     signed = stored(signatures(docs, shingle), "signatures")
     usable = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = stored(usable.groupBy("digest").agg(F.min("doc_id").alias("representative")), "classes")
-    chosen = usable.join(classes.select("digest", F.col("representative").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id", "digest"])
-    codes = stored(chosen.select("doc_id", "n_shingles", "codes", "bands"), "representatives")
-
-    buckets = codes.select(F.col("doc_id").alias("node"), F.posexplode("bands").alias("band", "bucket"))
-    heads = buckets.groupBy("bucket", "band").agg(F.min("node").alias("a"), F.max("node").alias("last"), F.count("*").alias("members")).where("a < last").drop("last")
-    shared = stored(buckets.join(heads, ["bucket", "band"]), "buckets")
-    tried = stored(shared.where("a < node").select("a", F.col("node").alias("b")).distinct(), "stars")
-    links = stored(confirmed(tried, codes, docs, shingle, percent), "links")
-    found = components(links)
-
-    for turn in range(ROUNDS):
-        apart = _apart(shared, found)
-        stretch = F.pmod(F.xxhash64("node", F.lit(turn)), F.floor(F.col("members") / NEIGHBOURS) + 1)
-        line = Window.partitionBy("bucket", "band", stretch).orderBy(F.xxhash64(F.lit(turn), "node"), "node")
-        pairs = apart.select("node", "label", F.lag("node").over(line).alias("other"), F.lag("label").over(line).alias("other_label")).where("label <> other_label")
-        pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "neighbours")
-        more = stored(confirmed(pairs, codes, docs, shingle, percent), "links")
-        tried, links = tried.union(pairs), links.union(more)
-        if more.isEmpty():
-            break
-        found = components(links)
-
-    # Each member outside a bucket's largest component against those of other components, in the first band that both share.
-    rest = _apart(shared, found).join(codes.select(F.col("doc_id").alias("node"), "n_shingles", "codes", "bands"), "node")
-    rest = stored(rest.select("bucket", "band", "node", "label", "top", "n_shingles", "codes", "bands"), "open-buckets")
-    outer = rest.where("label <> top").select(*[F.col(c).alias(f"{c}_o") for c in rest.columns])
-    near = (F.col("bucket") == F.col("bucket_o")) & (F.col("band") == F.col("band_o")) & (F.col("label") != F.col("label_o"))
-    near &= 100 * F.least("n_shingles", "n_shingles_o") >= percent * F.greatest("n_shingles", "n_shingles_o")
-    near &= estimate(F.col("codes"), F.col("codes_o")) >= percent / 100 - SLACK
-    near &= F.array_position(F.zip_with("bands", "bands_o", lambda x, y: x == y), True) == F.col("band") + 1
-    across = rest.join(outer, near).select(F.least("node", "node_o").alias("a"), F.greatest("node", "node_o").alias("b")).distinct()
-    across = stored(across.join(tried, ["a", "b"], "left_anti"), "across")
-    if not across.isEmpty():
-        more = stored(confirmed(across, codes, docs, shingle, percent), "links")
-        found = components(links.union(more))
-
+    with Scratch(docs.sparkSession, "near-dedup") as scratch:
+        chosen = usable.join(classes.select("digest", F.col("representative").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id", "digest"])
+        codes = scratch.stored(chosen.select("doc_id", "n_shingles", "codes", "bands"), "representatives")
+        clusters = clusters_of(codes, scratch, percent)
+        sized = clusters.join(codes.select(F.col("doc_id").alias("node"), "n_shingles"), "node").select("node", F.col("label").alias("grp"), "n_shingles")
+        counts = sized.groupBy("grp").agg(blocks_of(F.count("*"), 8 * F.sum("n_shingles")).alias("blocks"))
+        named = sized.select("node", "grp").distinct().join(counts, "grp")
+        texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("node"), "text").join(named.hint("shuffle_hash"), "node")
+        sets = scratch.stored(shingle_keys(texts, shingle), "sets")
+        found = links_within(sets, similar_pairs(percent), scratch, "similar")
     member = signed.join(classes, "digest", "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("representative")).otherwise(F.col("doc_id")).alias("node"))
     named = member.join(found, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("component_id"))
     return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

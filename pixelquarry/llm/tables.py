@@ -17,11 +17,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only in a local session without it."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="spark-")  # a local session, as in tests
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="spark-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
     return named.rstrip("/")
@@ -33,6 +35,28 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written to and read back from the shared folder: a lineage cut that survives lost executors."""
-    path = new_folder(df.sparkSession, name)
+    return written(df, new_folder(df.sparkSession, name))
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Stored tables that go once the last of them has been read: ``with Scratch(spark, "links") as scratch``."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.number = spark, new_folder(spark, name), 0
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.number += 1
+        return written(df, f"{self.root}/{self.number:03d}-{name}")
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
