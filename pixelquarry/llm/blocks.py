@@ -57,15 +57,21 @@ def _forest(dealt: DataFrame, kernel: Kernel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "task"):
             table = table.combine_chunks()
-            task, node, label = (table.column(c).to_numpy() for c in ("task", "node", "label"))
+            task, node, label, role = (table.column(c).to_numpy() for c in ("task", "node", "label", "role"))
             first = np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1])))
-            own = np.add.reduceat((table.column("role").to_numpy() == 0).astype(np.int64), first)
+            own = np.add.reduceat((role == 0).astype(np.int64), first)
             root = np.arange(len(task))
             for a, b in kernel(table, first, own, label):
                 root = least_roots(len(root), np.concatenate((a, np.arange(len(root)))), np.concatenate((b, root)))
-            far = np.flatnonzero(node != node[root])
+            # A component's edges go out from its least leader, which other tasks name too, or from its least node.
+            order = np.lexsort((node, role == 0, root))
+            head = np.ones(len(order), dtype=bool)
+            head[1:] = root[order][1:] != root[order][:-1]
+            hub = np.empty(len(order), dtype=np.int64)
+            hub[order] = order[head][np.cumsum(head) - 1]
+            far = np.flatnonzero(node != node[hub])
             if len(far):
-                yield pa.RecordBatch.from_arrays([pa.array(node[root[far]]), pa.array(node[far])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[hub[far]]), pa.array(node[far])], ["a", "b"])
 
     by_task = dealt.repartition("task").sortWithinPartitions("task", "role")
     return by_task.mapInArrow(run, "a long, b long")

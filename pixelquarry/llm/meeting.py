@@ -17,38 +17,54 @@ from pyspark.sql import functions as F
 
 from .textbytes import mix64, pieces
 
-#: Ids, 64-bit keys and 32-bit further keys of what a piece asks about.
-Asked = tuple[np.ndarray, np.ndarray, np.ndarray]
+#: Ids, 64-bit keys and, if the keys are to be longer, 32-bit further keys of what a piece asks about.
+Asked = tuple[np.ndarray, np.ndarray, np.ndarray | None]
 SCHEMA = "bucket int, settled boolean, ids binary, counts binary, keys binary, more binary"
-
-
-def _groups(ids: np.ndarray, keys: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The entries sorted by fingerprint and id without repeats, with their groups' starts and numbers."""
-    order = np.lexsort((ids, more, keys))
-    ids, keys, more = ids[order], keys[order], more[order]
+#: Bytes of text whose fingerprints meet in one bucket.
+BUCKET_TEXT = 32 << 20
+
+
+def buckets_for(docs: DataFrame) -> int:
+    """As many buckets as the texts' bytes call for, so that one fits in a task whatever the input's size."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_TEXT))
+
+
+def _distinct(ids: np.ndarray, keys: np.ndarray, more: np.ndarray | None, key_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
+    """The entries by fingerprint and id without repeats, and where each fingerprint begins."""
+    if more is None and key_bytes <= 6 and len(ids):
+        edge = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        named, rank = np.unique(ids[edge], return_inverse=True)
+        if len(named) <= 1 << 16:  # a key and the rank of its id are one number then
+            both = np.sort(keys << np.uint64(16) | np.repeat(rank, np.diff(np.append(edge, len(ids)))).astype(np.uint64))
+            both = both[np.concatenate(([True], both[1:] != both[:-1]))]
+            keys, ids = both >> np.uint64(16), named[(both & np.uint64(0xFFFF)).astype(np.int64)]
+            return ids, keys, None, np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    order = np.lexsort((ids, keys) if more is None else (ids, more, keys))
+    ids, keys, more = ids[order], keys[order], None if more is None else more[order]
     new = np.ones(len(ids), dtype=bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (more[1:] != more[:-1])
+    new[1:] = keys[1:] != keys[:-1]
+    if more is not None:
+        new[1:] |= more[1:] != more[:-1]
     own = new.copy()
     own[1:] |= ids[1:] != ids[:-1]
-    ids, keys, more, new = ids[own], keys[own], more[own], new[own]
-    return ids, keys, more, np.flatnonzero(new), np.cumsum(new) - 1
+    return ids[own], keys[own], None if more is None else more[own], np.flatnonzero(new[own])
 
 
-def _found(ids: np.ndarray, first: np.ndarray, group: np.ndarray, smaller: bool) -> np.ndarray:
-    """Entries with a smaller id in their group, or else with any other."""
+def _found(ids: np.ndarray, first: np.ndarray, smaller: bool) -> np.ndarray:
+    """Entries whose fingerprint, which begin at ``first``, a smaller id has, or else any other id."""
     if not len(ids):
         return np.zeros(0, dtype=bool)
-    later = ids > ids[first][group]
-    if smaller:
-        return later
-    return np.logical_or.reduceat(later, first)[group]
+    size = np.diff(np.append(first, len(ids)))
+    least, most = np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
+    return ids > np.repeat(least, size) if smaller else np.repeat(least < most, size)
 
 
-def _rows(bucket: np.ndarray, ids: np.ndarray, keys: np.ndarray, more: np.ndarray, settled: bool, width: int, wide: bool) -> list[tuple]:
+def _rows(bucket: np.ndarray, ids: np.ndarray, keys: np.ndarray, more: np.ndarray | None, settled: bool, width: int) -> list[tuple]:
     if not len(bucket):
         return []
     order = np.lexsort((ids, bucket))
-    bucket, ids, keys, more = bucket[order], ids[order], keys[order], more[order]
+    bucket, ids, keys, more = bucket[order], ids[order], keys[order], None if more is None else more[order]
     rows = []
     cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
     for a, b in zip(cut, [*cut[1:], len(bucket)], strict=True):
@@ -56,40 +72,36 @@ def _rows(bucket: np.ndarray, ids: np.ndarray, keys: np.ndarray, more: np.ndarra
         counts = np.diff(np.append(run, b - a)).astype(np.int32)
         size = 8 if settled else width
         packed = keys[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
-        rows.append((int(bucket[a]), settled, ids[a:b][run].tobytes(), counts.tobytes(), packed, more[a:b].tobytes() if wide and not settled else b""))
+        rows.append((int(bucket[a]), settled, ids[a:b][run].tobytes(), counts.tobytes(), packed, b"" if more is None or settled else more[a:b].tobytes()))
     return rows
 
 
 def _unpack(rows: list[tuple], width: int, wide: bool) -> Asked:
-    ids, keys, more = [], [], []
+    ids, keys, more = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
     for own, counts, packed, extra in rows:
         ids.append(np.repeat(np.frombuffer(own, np.int64), np.frombuffer(counts, np.int32)))
         key = np.zeros((len(ids[-1]), 8), dtype=np.uint8)
         key[:, :width] = np.frombuffer(packed, np.uint8).reshape(-1, width)
         keys.append(key.view("<u8").ravel())
-        more.append(np.frombuffer(extra, np.uint32) if wide and extra else np.zeros(len(ids[-1]), np.uint32))
-    none = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
-    return np.concatenate(ids or none[0]), np.concatenate(keys or none[1]), np.concatenate(more or none[2])
+        more.append(np.frombuffer(extra, np.uint32))
+    return np.concatenate(ids), np.concatenate(keys), np.concatenate(more) if wide else None
 
 
-def ask(docs: DataFrame, asked: Callable[[pa.RecordBatch], Asked], smaller: bool, key_bytes: int = 8, wide: bool = False) -> DataFrame:
+def ask(docs: DataFrame, asked: Callable[[pa.RecordBatch], Asked], buckets: int, smaller: bool, key_bytes: int = 8, wide: bool = False) -> DataFrame:
     """``doc_id`` and ``found``: arrays of packed 64-bit keys that another document has, or that a smaller ``doc_id`` has.
 
-    ``asked`` gives the fingerprints of a batch's documents; keys must fit in ``key_bytes``. The number of buckets follows
-    the session's shuffle partitions.
+    ``asked`` gives the fingerprints of a batch's documents, document by document; keys must fit in ``key_bytes``.
     """
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, limit=4_000_000):
-                ids, keys, more = asked(piece)
-                ids, keys, more, first, group = _groups(ids, keys, more)
-                known = _found(ids, first, group, smaller)
+                ids, keys, more, first = _distinct(*asked(piece), key_bytes)
+                known = _found(ids, first, smaller)
                 spread = (mix64(ids[known].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-                rows = _rows(spread, ids[known], keys[known], more[known], True, key_bytes, wide)
-                ids, keys, more = ids[first], keys[first], more[first]
-                rows += _rows((mix64(keys) % np.uint64(buckets)).astype(np.int32), ids, keys, more, False, key_bytes, wide)
+                rows = _rows(spread, ids[known], keys[known], None, True, 8)
+                ids, keys, more = ids[first], keys[first], None if more is None else more[first]  # the least id of each
+                rows += _rows((mix64(keys) % np.uint64(buckets)).astype(np.int32), ids, keys, more, False, key_bytes)
                 if rows:
                     kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
                     columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
@@ -97,8 +109,14 @@ def ask(docs: DataFrame, asked: Callable[[pa.RecordBatch], Asked], smaller: bool
 
     def reply(table: pa.Table) -> pa.Table:
         rows = list(zip(*[table.column(c).to_pylist() for c in ("settled", "ids", "counts", "keys", "more")], strict=True))
-        ids, keys, more, first, group = _groups(*_unpack([r[1:] for r in rows if not r[0]], key_bytes, wide))
-        known = _found(ids, first, group, smaller)
+        ids, keys, more = _unpack([r[1:] for r in rows if not r[0]], key_bytes, wide)
+        order = np.argsort(keys) if more is None else np.lexsort((more, keys))
+        ids, keys, more = ids[order], keys[order], None if more is None else more[order]
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = keys[1:] != keys[:-1]
+        if more is not None:
+            new[1:] |= more[1:] != more[:-1]
+        known = _found(ids, np.flatnonzero(new), smaller)
         told, told_keys, _ = _unpack([r[1:] for r in rows if r[0]], 8, False)
         ids, keys = np.concatenate((ids[known], told)), np.concatenate((keys[known], told_keys))
         order = np.argsort(ids, kind="stable")

@@ -21,3 +21,18 @@ g AS (SELECT DISTINCT r, s.i + k AS i FROM s JOIN f USING (key), range(13) x(k)
 k AS (SELECT t.r, count(*) AS n_words, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY t.i) FILTER (g.i IS NULL) AS kept FROM t LEFT JOIN g ON g.r = t.r AND g.i = t.i GROUP BY t.r)
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
 """
+
+OP9_SUFFIX_DEDUP = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+o AS (SELECT r, doc_id, b, unnest(range(greatest(octet_length(b) - 49, 0))) AS i FROM d),
+s AS (SELECT r, doc_id, i, b[i + 1 : i + 50] AS key FROM o),
+f AS (SELECT key, min(doc_id) AS least FROM s GROUP BY key),
+g AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 50 THEN 0 ELSE 1 END AS opens FROM s JOIN f USING (key) WHERE least < doc_id),
+n AS (SELECT r, i, sum(opens) OVER (PARTITION BY r ORDER BY i) AS span FROM g),
+p AS (SELECT r, span, min(i) AS a, max(i) + 50 AS z FROM n GROUP BY r, span),
+k AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM p),
+m AS (SELECT r, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS z, string_agg(CASE WHEN a > before THEN hex(b[before + 1 : a]) ELSE '' END, '' ORDER BY a) AS kept FROM k JOIN d USING (r) GROUP BY r)
+SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN m.r IS NULL THEN b WHEN z < octet_length(b) THEN unhex(kept) || b[z + 1 : octet_length(b)] ELSE unhex(kept) END) AS kept_sha256
+FROM d LEFT JOIN m USING (r)
+"""

@@ -30,6 +30,6 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES = {"op2_warc": oracles.OP2_WARC, "op6_substring_dedup": oracles.OP6_SUBSTRING_DEDUP}
+ORACLES = {"op2_warc": oracles.OP2_WARC, "op6_substring_dedup": oracles.OP6_SUBSTRING_DEDUP, "op9_suffix_dedup": oracles.OP9_SUFFIX_DEDUP}
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .meeting import among, ask, found_in, with_copies, with_found
+from .meeting import among, ask, buckets_for, found_in, with_copies, with_found
 from .tables import documents
 from .textbytes import Words, byte_view, pieces, window_hashes
 
@@ -47,7 +47,7 @@ def _own(batch: pa.RecordBatch) -> tuple[Words, np.ndarray]:
 def ask_anchors(batch: pa.RecordBatch):
     words, ids = _own(batch)
     at, key = _anchors(words)
-    return ids[words.doc[at]], key, np.zeros(len(at), np.uint32)
+    return ids[words.doc[at]], key, None
 
 
 def ask_windows(batch: pa.RecordBatch):
@@ -67,10 +67,10 @@ def ask_windows(batch: pa.RecordBatch):
 
 def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents with their ``copy`` mark, and for each id the windows that a smaller id has."""
-    base = with_copies(docs)
+    base, buckets = with_copies(docs), buckets_for(docs)
     single = base.where(~F.col("copy"))
-    shared = ask(single, ask_anchors, smaller=False, key_bytes=ANCHOR_BYTES)
-    return base, ask(single.join(shared.hint("shuffle_hash"), "doc_id"), ask_windows, smaller=True, wide=True)
+    shared = ask(single, ask_anchors, buckets, smaller=False, key_bytes=ANCHOR_BYTES)
+    return base, ask(single.join(shared.hint("shuffle_hash"), "doc_id"), ask_windows, buckets, smaller=True, wide=True)
 
 
 def removed_words(batch: pa.RecordBatch) -> tuple[Words, np.ndarray]:
