@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import documents, stored, table
+from .tables import columns_of, documents, stored, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -175,7 +175,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without those whose text holds a benchmark item; rows with a null id stay."""
     hits = contaminated(docs.select("doc_id", "text"), benchmark).select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(hits, "doc_id", "left_anti").select(*columns_of(docs))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,9 @@ model is fitted to them by dual coordinate descent. The margin becomes a score b
 the training rows.
 
 Defined results: a null or empty text has no n-grams and gets the model's bias; with no labelled row, or
-rows of one class only, every score is that class's (1 without labels); repeated rows give repeated rows.
+rows of one class only, every score is that class's (1 without labels); repeated rows give repeated rows, and a labelled id
+counts once, with the least of its labels; equal hashes of n-grams are one feature; an empty table gives an empty one; other columns aren't read, or
+come along unchanged if named in ``keep``; a very long text is one set of hashed n-grams, some 40 bytes a byte while it is made.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sampling import hash_sample, held_out
-from .tables import table
+from .tables import quoted, table
 from .textbytes import Words, byte_view, lower_ascii, mix64, pieces, window_hashes
 
 #: Bound of the labelled sample on the driver, and width of the hashed feature space.
@@ -140,21 +142,23 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_ROWS) -> SupportV
     return SupportVectors([np.asarray(x) for x in rows["grams"]], rows["quality"].to_numpy() == 1)
 
 
-def score(docs: DataFrame, model: SupportVectors, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (``doc_id`` unless told) with ``score``, of every whole text, where it is read."""
+def score(docs: DataFrame, model: SupportVectors, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns ``keep`` (``doc_id`` unless told) with the score, called ``name``, of every whole text, where it is read."""
     keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights
-    kept = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").alias("text"))
-    fields = kept.drop("text").schema.add("score", "double")
+    sent = [*keep, *(["text"] if "text" not in keep else [])]
+    numbered = docs.select(*[F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(sent)])
+    fields = numbered.select(*[f"k{i}" for i in range(len(keep))]).schema.add("score", "double")
+    text = f"k{sent.index('text')}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch):
-                found = shared.value.scores(*ngrams(piece.column("text")))
+            for piece in pieces(batch, text, limit=1_000_000):
+                found = shared.value.scores(*ngrams(piece.column(text)))
                 yield pa.RecordBatch.from_arrays([*[piece.column(i) for i in range(len(keep))], pa.array(found)], [f.name for f in fields])
 
-    out = kept.mapInArrow(run, fields)
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "score")
+    out = numbered.mapInArrow(run, fields)
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("score").alias(name))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

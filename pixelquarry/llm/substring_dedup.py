@@ -9,7 +9,10 @@ their words.
 
 Defined results: words are runs of bytes other than 0x20 and 0x09-0x0D; a null text has none; a document
 with fewer words than a window loses nothing; documents with one id never count as smaller than each other,
-and a null id neither loses words nor takes any; repeated rows get equal results.
+and a null id neither loses words nor takes any; repeated rows get equal results; the document that keeps a window is the one with the
+least id, so there are no ties; an empty table gives an empty one; other columns aren't read, and ``rewrite`` hands them on. A text that
+a smaller id has from end to end is settled by its digest: all its windows start there too. A very long text is one array of
+words, some 60 bytes a word; what is sent about it is spread over all buckets.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .meeting import among, ask, buckets_for, found_in, with_copies, with_found
-from .tables import documents
+from .tables import documents, quoted
 from .textbytes import Words, byte_view, pieces, window_hashes
 
 WINDOW = 13
@@ -121,7 +124,7 @@ def rewrite(docs: DataFrame) -> DataFrame:
     """
     columns = docs.columns
     rest = [c for c in columns if c not in ("doc_id", "text")]
-    packed = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in rest]).alias("rest")) if rest else docs.select("doc_id", "text")
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(quoted(c)) for c in rest]).alias("rest")) if rest else docs.select("doc_id", "text")
     base, found = removals(packed)
     fields = ["doc_id", "text", *(["rest"] if rest else [])]
     schema = with_found(packed, base, found).select(*fields).schema

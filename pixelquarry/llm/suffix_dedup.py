@@ -1,18 +1,20 @@
 """Substring dedup over bytes, by suffix arrays built column by column.
 
 All ``LENGTH``-byte strings with the same minimiser (the least hash of their ``SEED``-byte parts) meet in one
-bucket: a text is cut into maximal runs of such strings, at most ``RUN`` of them long. Runs whose
-minimiser no other document has are left out. In each bucket the runs are a collection of short
-texts, and its suffixes are sorted the Bauer-Cox-Rosone way: each round takes one further symbol of every text, from its
-end, and one stable pass over the Burrows-Wheeler transform so far puts the longer suffixes in order. The
-rounds are as many as the longest run has bytes, whatever the lengths of the documents. Neighbours in that order
-are then compared byte by byte over ``LENGTH`` bytes.
+bucket: a text is cut into maximal runs of strings that have theirs at the same place, at most ``RUN`` of them. Runs whose
+minimiser no other document has are left out, and so are those that agree with no other run in the bytes beside it. The
+runs left are a collection of short texts, and its suffixes are sorted the Bauer-Cox-Rosone way: each round inserts one symbol of every
+text, from its end, into the Burrows-Wheeler transform, and carries the common prefixes along. The
+rounds are as many as the longest run has bytes, whatever the lengths of the documents. Suffixes that follow each other with ``LENGTH``
+bytes in common are the repeated strings.
 
-The method's external files are the shuffle's own blocks here: a bucket is read in one sequence and fits in memory,
-because the number of buckets follows the session's shuffle partitions.
+The method's external files are the shuffle's own blocks here: a bucket is read in one sequence, the number of buckets follows
+the texts' bytes, and a task sorts ``COLLECTION`` runs at a time. Whole documents with equal texts, and equal runs, are settled by hashes before.
 
 Defined results: a null text has no bytes; matches don't cross documents; texts shorter than ``LENGTH`` lose
-nothing; documents with one id never count as smaller than each other; a null id neither loses nor takes.
+nothing; documents with one id never count as smaller than each other; a null id neither loses nor takes; repeated rows get equal results; the
+document that keeps a string is the one with the least id, so there are no ties; an empty table gives an empty one; other columns
+aren't read. Very long texts are worked on in stretches; beside the text a task holds some 4 bytes a byte of it.
 """
 
 from __future__ import annotations
