@@ -33,9 +33,9 @@ def test_stages(spark):
     assert set(texts(after)) == set(texts(before)) - {i for i, _ in brute_leaks(texts(before).items(), items)}
 
     _, before, after = kept[4]
+    want = texts(before)
     for r in after.collect():
-        assert r["decoded_sha256"] == hashlib.sha256(texts(before)[r["doc_id"]].encode()).hexdigest()
-        break
+        assert r["decoded_sha256"] == hashlib.sha256(want[r["doc_id"]].encode()).hexdigest()
     assert after.count() == before.count()
 
 
@@ -52,3 +52,19 @@ def test_the_classifier_stage_keeps_good_and_drops_bad_documents(spark):
 def test_run_is_the_stages_one_after_the_other(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and out.count() > 0
+
+
+def test_stages_take_odd_rows_and_any_column_names(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, text, 1.0, "x", 1, 2), (2, text, 2.0, None, 1, 2), (3, None, None, "y", 1, 2), (4, "", None, "y", 1, 2), (None, text, 0.5, "z", 1, 2), (6, "a b " * 4000, 0.1, "q", 1, 2), (1, text, 1.0, "w", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, `a.b` string, _goes int, _hit int")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.count() > 0
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    assert sorted((r["doc_id"] or 0, r["a.b"]) for r in kept) == [(0, "z"), (1, "w"), (3, "y"), (4, "y"), (6, "q")]
+    cut = {(r["doc_id"], r["a.b"]): r["text"] for r in corpus_pipeline.substrings(spark, docs, SF).collect()}
+    assert cut[2, None] == "" and cut[1, "x"] == text and cut[None, "z"] == text and cut[3, "y"] is None
+    assert corpus_pipeline.tokens(spark, docs, SF).count() == len(rows)
+    assert corpus_pipeline.tokens(spark, docs.limit(0), SF).count() == 0
