@@ -367,7 +367,7 @@ def repeats(docs: DataFrame, buckets: int) -> DataFrame:
             # Runs with different minimisers have no string in common: collections of whole groups are sorted one by one.
             new = np.flatnonzero(np.concatenate(([True], seed[once][1:] != seed[once][:-1]))) if len(once) else np.zeros(0, np.int64)
             cut = new[np.flatnonzero(np.diff(new // COLLECTION, prepend=-1))]
-            for a, b in zip(cut, [*cut[1:], len(once)], strict=True):
+            for a, b in zip(cut, np.append(cut, len(once))[1:], strict=True):  # none, where no run is left
                 part = once[a:b]
                 who, offset = repeated(ids[part], *taken(part))
                 order = np.lexsort((offset, who))

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -318,9 +319,10 @@ def test_byte_strings_of_odd_rows(spark):
 def test_suffixes_are_sorted():
     rng = np.random.default_rng(1)
     texts = [bytes(rng.integers(97, 99, rng.integers(1, 12)).astype(np.uint8)) for _ in range(40)]
-    who, length = suffix_dedup.sorted_suffixes(np.frombuffer(b"".join(texts), np.uint8), np.array(list(map(len, texts))))
+    who, length, common = suffix_dedup.sorted_suffixes(np.frombuffer(b"".join(texts), np.uint8), np.array(list(map(len, texts))))
     got = [texts[w][len(texts[w]) - n :] for w, n in zip(who, length, strict=True)]
     assert got == sorted(s[i:] for s in texts for i in range(len(s) + 1))
+    assert [len(os.path.commonprefix(pair)) for pair in zip(got, got[1:], strict=False)] == common[1:].tolist()
 
 
 # 7 -----------------------------------------------------------------------------------------------------------------
