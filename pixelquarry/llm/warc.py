@@ -4,22 +4,25 @@ Writing: one record a page; the payload of a record over ``segment_bytes`` goes
 records. Records with equal payloads become revisits of the one with the largest id. The archives are written by
 Spark's text writer, whose line separator is the two line ends that close a record.
 
-Reading: a file is inflated piece by piece, and its payloads come out as rows of record identifier, chunk
-number and chunk bytes with the count and digest of the payload so far. No record is held whole.
+Reading: Spark's text reader inflates a file as a stream and cuts it at line ends, which are put back; the payloads come out as
+rows of record identifier, chunk number and chunk bytes with the count and digest of the payload so far. A task holds
+an Arrow batch of the stream, which Spark bounds by bytes, and never a file or a record; the longest line is one segment.
 
 Defined results: null html is an empty payload; a null url has no target line; line ends within a url are
 percent-encoded; a row with a null id is a response of its own; repeated rows with the id that the others
-revisit are all responses; other columns aren't read.
+revisit are all responses; an empty table makes no records; other columns aren't read. A very long payload is one value in the table
+it comes from and goes on in segments; as the larger id is the response, equal payloads have no ties.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,15 +52,16 @@ def write(pages: DataFrame, path: str, min_revisit_bytes: int = 0, segment_bytes
     ids = keyed.where((F.col("size") >= min_revisit_bytes) & F.col("page_id").isNotNull()).select("page_id", "sha", "size")
     holders = ids.groupBy("sha", "size").agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).where("n > 1")
     roles = ids.join(holders, ["sha", "size"]).where("page_id <> holder").select("page_id", "sha", "holder").distinct()
-    rows = keyed.join(roles, ["page_id", "sha"], "left")
+    rows = keyed.join(roles, ["page_id", "sha"], "left").withColumn("digest", base32(F.col("sha")))
 
+    # Only segment numbers are generated, and each segment is cut out of the payload in the same stage: no row holds all of them.
     revisit = F.col("holder").isNotNull()
-    whole = F.when(revisit, F.lit(b"")).otherwise(F.col("payload"))
     count = F.greatest(F.lit(1), F.ceil(F.when(revisit, 0).otherwise(F.col("size")) / segment_bytes)).cast("int")
-    slices = F.transform(F.sequence(F.lit(1), count), lambda i: F.struct(i.alias("number"), F.substring(whole, (i - 1) * segment_bytes + 1, F.lit(segment_bytes)).alias("bytes")))
-    parts = rows.select("page_id", "url", "sha", "holder", count.alias("segments"), F.explode(slices).alias("part"))
+    numbered = rows.select("page_id", "url", "digest", "holder", "payload", count.alias("segments"), F.explode(F.sequence(F.lit(1), count)).alias("number"))
+    segment = F.when(revisit, F.lit(b"")).otherwise(F.substring("payload", (F.col("number") - 1) * segment_bytes + 1, F.lit(segment_bytes)))
+    parts = numbered.select("page_id", "url", "digest", "holder", "segments", "number", segment.alias("bytes"))
 
-    number, total = F.col("part.number"), F.col("segments")
+    number, total = F.col("number"), F.col("segments")
     urn = lambda i: F.concat(F.lit("<urn:page:"), F.coalesce(i.cast("string"), F.lit("null")), F.lit(">"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(END))
     origin = urn(F.col("page_id"))
@@ -67,48 +71,24 @@ def write(pages: DataFrame, path: str, min_revisit_bytes: int = 0, segment_bytes
         F.when(number > 1, line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(":"), number.cast("string"), F.lit(">")))).otherwise(line("WARC-Record-ID", origin)),
         F.lit("WARC-Date: 1970-01-01T00:00:00Z" + END),
         F.coalesce(line("WARC-Target-URI", F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))), F.lit("")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("sha")))),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         F.coalesce(F.concat(line("WARC-Refers-To", urn(F.col("holder"))), F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" + END)), F.lit("")),
         F.when(total > 1, line("WARC-Segment-Number", number.cast("string"))).otherwise(""),
         F.when(number > 1, line("WARC-Segment-Origin-ID", origin)).otherwise(""),
         F.when((total > 1) & (number == total), line("WARC-Segment-Total-Number", total.cast("string"))).otherwise(""),
         F.lit("Content-Type: text/html; charset=utf-8" + END),
-        line("Content-Length", F.length("part.bytes").cast("string")),
+        line("Content-Length", F.length("bytes").cast("string")),
         F.lit(END),
     )
-    record = F.concat(head.cast("binary"), F.col("part.bytes")).cast("string")
+    record = F.concat(head.cast("binary"), F.col("bytes")).cast("string")
     parts.select(record.alias("value")).write.option("lineSep", END * 2).option("compression", "gzip").text(path)
 
 
-def _inflate(content: bytes, step: int) -> Iterator[bytes]:
-    """The bytes of an archive, plain or in gzip members, at most ``step`` at a time."""
-    view = memoryview(content)
-    if content[:2] != b"\x1f\x8b":
-        for at in range(0, len(view), step):
-            yield bytes(view[at : at + step])
-        return
-    at, member = 0, zlib.decompressobj(31)
-    pending = b""
-    while True:
-        if not pending:
-            pending = bytes(view[at : at + step])
-            at += len(pending)
-        if not pending:
-            return
-        out = member.decompress(pending, step)
-        pending = member.unconsumed_tail
-        if member.eof:
-            pending, member = member.unused_data, zlib.decompressobj(31)
-        if out:
-            yield out
-
-
-def chunks_of(content: bytes, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[dict[str, str], int, bytes, int, str, bool]]:
-    """Of each payload in turn: the first record's fields, chunk number, chunk, bytes and hex digest so far, and whether it is the last.
+def chunks_of(source: Iterator[bytes], chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[dict[str, str], int, bytes, int, str, bool]]:
+    """Of each payload of an archive's bytes, in turn: the first record's fields, chunk number, chunk, bytes and hex digest so far, and whether it is the last.
 
     The segments of one payload follow each other in a file, so one digest runs through them.
     """
-    source = _inflate(content, chunk_bytes)
     buffer = b""
 
     def more() -> bool:
@@ -156,9 +136,24 @@ def chunks_of(content: bytes, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[
         yield fields, number, held, done, digest.hexdigest(), True
 
 
+def _stretches(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[tuple[str, bytes]]:
+    """The bytes of each file, with the line ends that the reader took away, at most ``step`` at a time."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names, lines = batch.column(0), batch.column(1)
+        runs = pc.run_end_encode(names)
+        first = 0
+        for name, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+            data = END.encode().join([*lines.slice(first, end - first).to_pylist(), b""])
+            first = end
+            for at in range(0, len(data), step):
+                yield name, data[at : at + step]
+
+
 def read_chunks(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES, with_bytes: bool = True) -> DataFrame:
-    """The chunked record table of all archives in ``path``, a file a row group, through Spark's own reader."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    """The chunked record table of all gzip archives in ``path``: a file is read in one task, in order, as gzip can't be split."""
+    lines = spark.read.option("pathGlobFilter", "*.gz").option("lineSep", END).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("line"))
     names = ["archive", "record_id", "warc_type", "target_uri", "refers_to", "chunk_no", "chunk", "bytes_so_far", "digest_so_far", "is_last"]
     kinds = ["string", "string", "string", "string", "string", "long", "binary", "long", "string", "boolean"]
     types = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
@@ -170,18 +165,17 @@ def read_chunks(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES,
         def batch_of() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-        for batch in batches:
-            for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                for head, number, chunk, done, digest, last in chunks_of(content.as_py(), chunk_bytes):
-                    rows.append((name.as_py(), head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"), head.get("warc-refers-to"), number, chunk if with_bytes else None, done, base64.b32encode(bytes.fromhex(digest)).decode(), last))
-                    held += len(chunk) if with_bytes else 0
-                    if len(rows) >= 4096 or held > 8_000_000:
-                        yield batch_of()
-                        rows, held = [], 0
+        for name, stream in groupby(_stretches(batches, chunk_bytes), key=lambda x: x[0]):
+            for head, number, chunk, done, digest, last in chunks_of((piece for _, piece in stream), chunk_bytes):
+                rows.append((name, head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"), head.get("warc-refers-to"), number, chunk if with_bytes else None, done, base64.b32encode(bytes.fromhex(digest)).decode(), last))
+                held += len(chunk) if with_bytes else 0
+                if len(rows) >= 4096 or held > 8_000_000:
+                    yield batch_of()
+                    rows, held = [], 0
         if rows:
             yield batch_of()
 
-    return files.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+    return lines.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:

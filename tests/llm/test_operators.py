@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pixelquarry.llm import byte_bpe, decontaminate, language_id, near_dedup, quality_classifier, quality_rules, substring_dedup, suffix_dedup, url_filter, url_words, warc
 from pixelquarry.llm.graph import components
 from pixelquarry.llm.queries import QUERIES
+from pixelquarry.llm.sampling import hash_sample
 from pixelquarry.llm.tables import new_folder
 
 SF = "/root/testdata/sf0.001"
@@ -88,14 +89,17 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], DOCS), 2).count() == 0
 
 
-def test_estimates_are_near_the_similarity():
-    import pyarrow as pa
-
-    a = [f"w{i}" for i in range(400)]
-    text = [" ".join(a), " ".join(a[:300] + [f"v{i}" for i in range(100)])]
-    rows, keys = near_dedup.shingle_sets(pa.array(text), 1)
-    sets = [set(keys[rows == i]) for i in (0, 1)]
-    assert len(sets[0] & sets[1]) / len(sets[0] | sets[1]) == 0.6
+def test_estimates_are_near_the_similarity(spark):
+    rng = random.Random(6)
+    for percent in (30, 60, 80, 95):
+        rows = []
+        for i in range(60):
+            shared, own = [f"s{i}_{j}" for j in range(4 * percent)], [f"{i}_{j}" for j in range(400 - 4 * percent)]
+            rows += [(2 * i, " ".join(rng.sample(shared + own[::2], len(shared + own[::2])))), (2 * i + 1, " ".join(shared + own[1::2]))]
+        signed = {r["doc_id"]: r["codes"] for r in near_dedup.signatures(spark.createDataFrame(rows, DOCS), 1).collect()}
+        codes = np.array([signed[i] for i in range(120)], dtype=np.int64).view(np.uint64)
+        got = near_dedup.estimates(codes[0::2], codes[1::2])
+        assert abs(got.mean() - percent / 100) < 0.02 and abs(got - percent / 100).max() < near_dedup.SLACK
 
 
 def test_components_of_a_chain(spark):
@@ -138,6 +142,24 @@ def test_warc_streams_oversized_and_odd_payloads(spark):
         assert c["digest_so_far"] == base64.b32encode(data.digest()).decode() and c["bytes_so_far"] == done
 
 
+def test_warc_keeps_any_line_ends_and_reads_in_small_batches(spark):
+    rng = random.Random(8)
+    rows = [(i, "u", "".join(rng.choice("\r\n a") for _ in range(rng.randrange(1, 150_000)))) for i in range(6)] + [(9, "u", "\r" * 70_000 + "\n"), (10, "u", "\r\n"), (11, "u", "x" * 3_000_000)]
+    path = new_folder(spark, "warc-test")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), path, segment_bytes=50_000)
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(bound)
+    spark.conf.set(bound, "100000b")
+    try:
+        got = {r["page_id"]: tuple(r)[1:5] for r in warc.read_records(spark, path).collect()}
+    finally:
+        spark.conf.set(bound, before)
+    assert got == brute_warc([(i, h) for i, _, h in rows])
+    empty = new_folder(spark, "warc-test")
+    warc.write(spark.createDataFrame([], "page_id long, url string, html string"), empty)
+    assert warc.read_records(spark, empty).count() == 0
+
+
 def test_warc_revisits_only_from_the_given_size(spark):
     path = new_folder(spark, "warc-test")
     warc.write(spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string"), path, min_revisit_bytes=3)
@@ -186,6 +208,17 @@ def test_without_labels_the_forest_rejects_nothing(spark):
     assert quality_rules.judge(docs, forest, threshold).collect()[0]["kept"]
 
 
+def test_a_sample_keeps_every_row_under_its_bound(spark):
+    rows = spark.createDataFrame([(i, i % 3, i % 2) for i in range(500)] + [(7, 1, 0), (None, 1, 0)], "doc_id long, v int, g int")
+    every = hash_sample(rows, "doc_id", 500, values=["v"]).collect()
+    assert sorted(r["doc_id"] for r in every) == list(range(500)) and all(r["v"] == r["doc_id"] % 3 for r in every)
+    part = {r["doc_id"] for r in hash_sample(rows, "doc_id", 120).collect()}
+    assert len(part) == 120 and part <= {r["doc_id"] for r in hash_sample(rows, "doc_id", 121).collect()}
+    by = hash_sample(rows, "doc_id", 50, by=["g"]).groupBy("g").count().collect()
+    assert sorted(tuple(r) for r in by) == [(0, 50), (1, 50)]
+    assert hash_sample(rows.limit(0), "doc_id", 5).count() == 0
+
+
 # 4 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -253,6 +286,26 @@ def test_edited_short_and_odd_items(spark):
     assert decontaminate.contaminated(d, b.limit(0)).count() == 0
 
 
+def test_items_with_repeated_shingles(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(9)]
+    items = [(i, " ".join([rng.choice(words[:5]) for _ in range(6)] * 3 + [rng.choice(words) for _ in range(rng.randrange(4, 12))])) for i in range(20)]
+    rows = []
+    for d in range(60):
+        body = [rng.choice(words) for _ in range(rng.randrange(0, 60))]
+        text = items[d % 20][1].split()
+        if d % 3:
+            text[rng.randrange(len(text))] = "zz"
+        at = rng.randrange(len(body) + 1)
+        rows.append((d, " ".join(body[:at] + text + body[at:])))
+    want = brute_leaks(rows, items)
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.contaminated(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got.keys() <= want.keys() and len(got) >= 0.9 * len(want)  # the radius lets few pairs near 0.8 go
+    assert all(got[pair] <= want[pair] + 1e-9 for pair in got)
+    exact = {pair for pair, like in want.items() if like > 0.95}
+    assert exact and all(got[pair] == pytest.approx(want[pair]) for pair in exact)
+
+
 # 6 and 9 -----------------------------------------------------------------------------------------------------------
 
 
@@ -388,6 +441,25 @@ def test_phrases_are_the_longest_matches():
             assert cost[i, k] == pytest.approx(n * parser.bits[k])
 
 
+def test_phrases_of_long_texts_have_no_block_edges():
+    rng = random.Random(2)
+    words = ["abra", "cadabra", "banana", "band", "  ", "dn", "xr"]
+    texts = {"a": "".join(rng.choice(words) for _ in range(900)).encode(), "b": "".join(rng.choice(words[2:]) for _ in range(900)).encode()}
+    parser = language_id.CrossParser(texts)
+    samples = ["".join(rng.choice(words) for _ in range(n)).encode() for n in (3000, 1, 5000)]
+    assert len(samples[0]) > 10_000
+    cost = parser.costs(np.frombuffer(b"".join(samples), np.uint8), np.concatenate(([0], np.cumsum([len(s) for s in samples]))))
+    for i, s in enumerate(samples):
+        for k, name in enumerate("ab"):
+            n = at = 0
+            while at < len(s):
+                size = 1
+                while at + size < len(s) and s[at : at + size + 1] in texts[name]:
+                    size += 1
+                n, at = n + 1, at + size
+            assert cost[i, k] == pytest.approx(n * parser.bits[k])
+
+
 def test_languages_of_odd_rows(spark):
     learned = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr"), (3, None, "de"), (4, "x", None)], DOCS + ", lang string")
     parser = language_id.learn(learned)
