@@ -14,7 +14,10 @@ SIGMA_CUTOFF = 1e-3
 
 
 def convolve(image: Raster, width: int, height: int, weights: list[float], origin: tuple[int, int] | None = None, mode: str = "clamp", value: float = 0.0) -> Raster:
-    """Correlation with an explicit kernel; ``valid`` shrinks the image, a constant stands in for what lies outside."""
+    """Correlation with an explicit kernel; ``valid`` shrinks the image, a constant stands in for what lies outside.
+
+    Each output pixel also has one entry without a tap, so it has a row even where all its taps lie outside or weigh nothing.
+    """
     ox, oy = origin or (width // 2, height // 2)
     out_w, out_h = (image.width - width + 1, image.height - height + 1) if mode == "valid" else (image.width, image.height)
     if out_w <= 0 or out_h <= 0:
@@ -26,13 +29,14 @@ def convolve(image: Raster, width: int, height: int, weights: list[float], origi
         return [(o, i, k) for o in range(n_out) for k in range(size) if (i := bounded_index(o + k - at, n_in, mode)) is not None]
 
     spark = image.frame.sparkSession
-    xs = spark.createDataFrame(places(out_w, image.width, width, ox), "ox int, x int, kx int")
-    ys = spark.createDataFrame(places(out_h, image.height, height, oy), "oy int, y int, ky int")
-    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.col("ky") * width + F.col("kx"))
-    joined = image.table().join(F.broadcast(xs), "x").join(F.broadcast(ys), "y").withColumn("w", weight).where("w <> 0")
+    xs = spark.createDataFrame([*places(out_w, image.width, width, ox), *[(o, o, -1) for o in range(out_w)]], "ox int, x int, kx int")
+    ys = spark.createDataFrame([*places(out_h, image.height, height, oy), *[(o, o, -1) for o in range(out_h)]], "oy int, y int, ky int")
+    kernel = F.array(*[F.lit(float(w)) for w in weights])
+    weight = F.when((F.col("kx") >= 0) & (F.col("ky") >= 0), F.get(kernel, F.col("ky") * width + F.col("kx")))
+    joined = image.table().join(F.broadcast(xs), "x").join(F.broadcast(ys), "y").withColumn("w", weight).where("w <> 0 OR (kx < 0 AND ky < 0)")
     n = len(image.channels)
-    outside = F.lit(value) * (F.lit(float(sum(weights))) - F.sum("w"))
-    sums = [F.sum(F.col(f"c{i}").cast("double") * F.col("w")) for i in range(n)]
+    outside = F.lit(value) * (F.lit(float(sum(weights))) - F.coalesce(F.sum("w"), F.lit(0.0)))
+    sums = [F.coalesce(F.sum(F.col(f"c{i}").cast("double") * F.col("w")), F.lit(0.0)) for i in range(n)]
     found = joined.groupBy("rid", F.col("oy").alias("y"), F.col("ox").alias("x")).agg(*[f32(s + outside if value else s).alias(f"c{i}") for i, s in enumerate(sums)])
     return image.over(found, n, width=out_w, height=out_h)
 

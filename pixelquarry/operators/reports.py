@@ -56,9 +56,9 @@ def statistics(image: Raster, mask: Raster | None = None) -> DataFrame:
     if mask:
         rows = rows.where((F.col("m") > 0) & ~F.isnan("m"))
     v = F.when(finite(F.col("v")), F.col("v"))
-    out = rows.groupBy("rid", "ch").agg(F.count(v).alias("n"), F.min(v).alias("v_min"), F.max(v).alias("v_max"), F.sum(v).alias("v_sum"), F.sum(v * v).alias("sq"))
+    out = rows.groupBy("rid", "ch").agg(F.count(v).alias("n"), F.min(v).alias("v_min"), F.max(v).alias("v_max"), F.sum(v).alias("v_sum"), F.var_pop(v).alias("variance"))
     mean = F.col("v_sum") / F.col("n")
-    return out.where("n > 0").select("rid", "ch", "n", "v_min", "v_max", "v_sum", mean.alias("mean"), F.greatest(F.lit(0.0), F.col("sq") / F.col("n") - mean * mean).alias("variance"))
+    return out.where("n > 0").select("rid", "ch", "n", "v_min", "v_max", "v_sum", mean.alias("mean"), "variance")
 
 
 def histogram(image: Raster, bins: int, domain_min: float, domain_max: float) -> DataFrame:
@@ -126,7 +126,7 @@ def frequency_energy(image: Raster, bands: int, mask: Raster | None = None, inve
     out = None
     for level, band in enumerate(laplacian_split(image, bands)):
         table = _long(band)
-        part = table.groupBy("rid").agg(F.sum(F.col("v") * F.col("v")).alias("energy"), F.countDistinct("y", "x").alias("n")).select("rid", F.lit(level).alias("level"), "energy", "n")
+        part = table.groupBy("rid").agg(F.sum(F.col("v") * F.col("v")).alias("energy"), F.lit(band.width * band.height).cast("long").alias("n")).select("rid", F.lit(level).alias("level"), "energy", "n")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -345,6 +345,21 @@ def _conv_sql(at: Callable[[str, int], str], where: str = "") -> str:
 
 
 query("filter_convolve", lambda s: show(filters.convolve(s.gray, 3, 3, _K), 4), _conv_sql(lambda v, n: f"least(greatest({v}, 0), {n - 1})"))
+_ONE = [0.0, 0.0, 0.0, 1.5, 0.0, 0.0, 0.0, 0.0, -0.5]
+
+
+def _conv_outside_sql(weights: list[float], value: float, where: str = "true", shift: int = 0) -> str:
+    """All taps of all pixels; what lies outside is ``value``."""
+    taps = ", ".join(f"({i % 3}, {i // 3}, {w}::DOUBLE)" for i, w in enumerate(weights))
+    grid = f"o AS (SELECT rid, y, x, x + kx - 1 AS sx, y + ky - 1 AS sy, w FROM ev, (VALUES {taps}) k(kx, ky, w) WHERE {where})"
+    return pixels("v", source="z", digits=4, ctes=f"{EV}, {grid}, z AS (SELECT o.rid, o.y - {shift} AS y, o.x - {shift} AS x, sum(coalesce(CAST(e.c0 AS DOUBLE), {value}::DOUBLE) * w) AS v FROM o LEFT JOIN ev e ON e.rid = o.rid AND e.x = o.sx AND e.y = o.sy GROUP BY o.rid, o.y, o.x)")
+
+
+query("filter_convolve_constant", lambda s: show(filters.convolve(s.gray, 3, 3, _ONE, mode="constant", value=0.25), 4), _conv_outside_sql(_ONE, 0.25))
+query("filter_convolve_transparent", lambda s: show(filters.convolve(s.gray, 3, 3, _ONE, mode="transparent"), 4), _conv_outside_sql(_ONE, 0.0))
+query("filter_convolve_zero", lambda s: show(filters.convolve(s.gray, 3, 3, [0.0] * 9), 4), _conv_outside_sql([0.0] * 9, 0.0))
+query("filter_convolve_valid", lambda s: show(filters.convolve(s.gray, 3, 3, _K, mode="valid"), 4), _conv_outside_sql(_K, 0.0, f"x BETWEEN 1 AND {W - 2} AND y BETWEEN 1 AND {H - 2}", 1))
+query("filter_convolve_mirror", lambda s: show(filters.convolve(s.gray, 3, 3, _K, mode="mirror"), 4), _conv_sql(lambda v, n: f"({n - 1} - abs({n - 1} - abs({v})))"))
 query("filter_convolve_wrap", lambda s: show(filters.convolve(s.gray, 3, 3, _K, mode="wrap"), 4), _conv_sql(lambda v, n: f"({v} + {n}) % {n}"))
 _BLUR = _passes("ev", "z", RGBA, _gauss(W, 1.2), _gauss(H, 1.2))
 query("filter_gaussian_blur", lambda s: show(filters.gaussian_blur(s.rgba, 1.2), 4), pixels(*RGBA, source="z", ctes=f"{EV}, {_BLUR}", digits=4))

@@ -76,8 +76,10 @@ def encode(samples: np.ndarray) -> bytes:
 
 
 def decode_images(spark: SparkSession, path: str) -> DataFrame:
-    """``path``, ``y``, ``x``, ``ch``, ``v`` of every sample of the PNG files at ``path``; a file is decoded in one task."""
-    return decode_table(spark.read.format("binaryFile").load(path).where(F.col("length") <= MAX_BYTES).select("path", "content"))
+    """``path``, ``y``, ``x``, ``ch``, ``v`` of every sample of the PNG files at ``path``; a file is decoded in one task, and one over ``MAX_BYTES`` is an error."""
+    files = spark.read.format("binaryFile").load(path)
+    small = F.when(F.col("length") <= MAX_BYTES, True).otherwise(F.raise_error(F.concat(F.lit("the file is too large: "), F.col("path"))))
+    return decode_table(files.where(small).select("path", "content"))
 
 
 def decode_table(files: DataFrame) -> DataFrame:
