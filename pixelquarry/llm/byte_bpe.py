@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .tables import documents
 
-CACHE_PIECES = 800_000
-CACHE_PAIRS = 400_000
+#: Bounds of what a worker keeps from task to task.
+CACHE_PIECES = 300_000
+CACHE_PAIRS = 200_000
 
 
 class Ranks:

@@ -87,7 +87,7 @@ def _unpack(rows: list[tuple], width: int, wide: bool) -> Asked:
     return np.concatenate(ids), np.concatenate(keys), np.concatenate(more) if wide else None
 
 
-def ask(docs: DataFrame, asked: Callable[[pa.RecordBatch], Asked], buckets: int, smaller: bool, key_bytes: int = 8, wide: bool = False) -> DataFrame:
+def ask(docs: DataFrame, asked: Callable[[pa.RecordBatch], Asked], buckets: int, smaller: bool, key_bytes: int = 8, wide: bool = False, piece_bytes: int = 4_000_000) -> DataFrame:
     """``doc_id`` and ``found``: arrays of packed 64-bit keys that another document has, or that a smaller ``doc_id`` has.
 
     ``asked`` gives the fingerprints of a batch's documents, document by document; keys must fit in ``key_bytes``.
@@ -95,7 +95,7 @@ def ask(docs: DataFrame, asked: Callable[[pa.RecordBatch], Asked], buckets: int,
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, limit=4_000_000):
+            for piece in pieces(batch, limit=piece_bytes):
                 ids, keys, more, first = _distinct(*asked(piece), key_bytes)
                 known = _found(ids, first, smaller)
                 spread = (mix64(ids[known].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)

@@ -31,6 +31,8 @@ BITS = 18
 PASSES = 12
 PENALTY = 0.1
 CUT = 0.3
+#: Bytes of text whose n-grams are worked out at a time, at some 200 bytes of memory each.
+PIECE_BYTES = 500_000
 
 
 def ngrams(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_ROWS) -> SupportV
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit=PIECE_BYTES):
                 found, at = ngrams(piece.column("text"))
                 grams = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(found))
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("quality"), grams], ["doc_id", "quality", "grams"])
@@ -153,7 +155,7 @@ def score(docs: DataFrame, model: SupportVectors, keep: list[str] | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, text, limit=1_000_000):
+            for piece in pieces(batch, text, limit=PIECE_BYTES):
                 found = shared.value.scores(*ngrams(piece.column(text)))
                 yield pa.RecordBatch.from_arrays([*[piece.column(i) for i in range(len(keep))], pa.array(found)], [f.name for f in fields])
 

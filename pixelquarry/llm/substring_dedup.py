@@ -34,6 +34,8 @@ PERIOD = 7
 COVER = (1, 2, 4)  # fixed values: a difference cover modulo 7
 ANCHOR = WINDOW - PERIOD + 1
 ANCHOR_BYTES = 6
+#: Bytes of text whose fingerprints are pre-aggregated together.
+PIECE_BYTES = 2_000_000
 
 
 def _anchors(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -72,8 +74,8 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents with their ``copy`` mark, and for each id the windows that a smaller id has."""
     base, buckets = with_copies(docs), buckets_for(docs)
     single = base.where(~F.col("copy"))
-    shared = ask(single, ask_anchors, buckets, smaller=False, key_bytes=ANCHOR_BYTES)
-    return base, ask(single.join(shared.hint("shuffle_hash"), "doc_id"), ask_windows, buckets, smaller=True, wide=True)
+    shared = ask(single, ask_anchors, buckets, smaller=False, key_bytes=ANCHOR_BYTES, piece_bytes=PIECE_BYTES)
+    return base, ask(single.join(shared.hint("shuffle_hash"), "doc_id"), ask_windows, buckets, smaller=True, wide=True, piece_bytes=PIECE_BYTES)
 
 
 def removed_words(batch: pa.RecordBatch) -> tuple[Words, np.ndarray]:
