@@ -1,14 +1,16 @@
-"""Neighbourhood filters: tap joins with pre-aggregation, and window frames."""
+"""Neighbourhood filters: kernels over lines and over tiles with halos, and window frames."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from ..plans.blocks import Grids, tile_places, tiled
 from ..plans.raster import KEYS, Raster, RasterError, f32, together
-from .geometry import Taps, apply_taps, bounded_index, merged
+from .geometry import bounded_index, two_passes
 
 SIGMA_CUTOFF = 1e-3
 
@@ -16,36 +18,39 @@ SIGMA_CUTOFF = 1e-3
 def convolve(image: Raster, width: int, height: int, weights: list[float], origin: tuple[int, int] | None = None, mode: str = "clamp", value: float = 0.0) -> Raster:
     """Correlation with an explicit kernel; ``valid`` shrinks the image, a constant stands in for what lies outside.
 
-    Each output pixel also has one entry without a tap, so it has a row even where all its taps lie outside or weigh nothing.
+    Every output pixel has a row, also where all its taps lie outside or weigh nothing; a weight of 0 ignores its sample.
     """
-    ox, oy = origin or (width // 2, height // 2)
+    ox, oy = (0, 0) if mode == "valid" else origin or (width // 2, height // 2)
     out_w, out_h = (image.width - width + 1, image.height - height + 1) if mode == "valid" else (image.width, image.height)
     if out_w <= 0 or out_h <= 0:
         raise RasterError("the kernel is larger than the image")
+    edge = "constant" if mode == "valid" else mode
+    xs = tile_places(image.width, out_w, width, ox, lambda i: bounded_index(i, image.width, edge))
+    ys = tile_places(image.height, out_h, height, oy, lambda i: bounded_index(i, image.height, edge))
+    taps = [(k // width, k % width, float(w)) for k, w in enumerate(weights) if w]
 
-    def places(n_out: int, n_in: int, size: int, at: int) -> list[tuple[int, int, int]]:
-        if mode == "valid":
-            return [(o, o + k, k) for o in range(n_out) for k in range(size)]
-        return [(o, i, k) for o in range(n_out) for k in range(size) if (i := bounded_index(o + k - at, n_in, mode)) is not None]
-
-    spark = image.frame.sparkSession
-    xs = spark.createDataFrame([*places(out_w, image.width, width, ox), *[(o, o, -1) for o in range(out_w)]], "ox int, x int, kx int")
-    ys = spark.createDataFrame([*places(out_h, image.height, height, oy), *[(o, o, -1) for o in range(out_h)]], "oy int, y int, ky int")
-    kernel = F.array(*[F.lit(float(w)) for w in weights])
-    weight = F.when((F.col("kx") >= 0) & (F.col("ky") >= 0), F.get(kernel, F.col("ky") * width + F.col("kx")))
-    joined = image.table().join(F.broadcast(xs), "x").join(F.broadcast(ys), "y").withColumn("w", weight).where("w <> 0 OR (kx < 0 AND ky < 0)")
-    n = len(image.channels)
-    outside = F.lit(value) * (F.lit(float(sum(weights))) - F.coalesce(F.sum("w"), F.lit(0.0)))
-    sums = [F.coalesce(F.sum(F.col(f"c{i}").cast("double") * F.col("w")), F.lit(0.0)) for i in range(n)]
-    found = joined.groupBy("rid", F.col("oy").alias("y"), F.col("ox").alias("x")).agg(*[f32(s + outside if value else s).alias(f"c{i}") for i, s in enumerate(sums)])
-    return image.over(found, n, width=out_w, height=out_h)
+    def kernel(grids: Grids) -> Grids:
+        h, w = grids[0].shape[0] - height + 1, grids[0].shape[1] - width + 1
+        return [sum((t * g[j : j + h, i : i + w] for j, i, t in taps), np.zeros((h, w))) for g in grids]
+
+    return image.over(tiled(image, xs, ys, (width, height), (out_w, out_h), kernel, value), len(image.channels), width=out_w, height=out_h)
 
 
-def gaussian_taps(n: int, sigma: float, mode: str) -> Taps:
+def gaussian_kernel(n: int, sigma: float, mode: str):
+    """Lines of ``n`` samples, extended by the boundary mode and summed under the normalised weights."""
     radius = math.ceil(3 * sigma)
-    weights = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-radius, radius + 1)]
-    total = sum(weights)
-    return merged([(o, i, w / total) for o in range(n) for k, w in zip(range(-radius, radius + 1), weights, strict=True) if (i := bounded_index(o + k, n, mode)) is not None])
+    weights = np.exp(-(np.arange(-radius, radius + 1.0) ** 2) / (2 * sigma * sigma))
+    weights /= weights.sum()
+    source = np.array([n if (i := bounded_index(k, n, mode)) is None else i for k in range(-radius, n + radius)])
+
+    def run(grids: Grids) -> Grids:
+        out = []
+        for g in grids:
+            wide = np.concatenate((g, np.zeros((len(g), 1))), axis=1)[:, source]
+            out.append(sum((w * wide[:, k : k + n] for k, w in enumerate(weights)), np.zeros(g.shape)))
+        return out
+
+    return run
 
 
 def gaussian_blur(image: Raster, sigma: float, mode: str = "clamp", sigma_max: float = 512.0) -> Raster:
@@ -54,25 +59,31 @@ def gaussian_blur(image: Raster, sigma: float, mode: str = "clamp", sigma_max: f
         raise RasterError("sigma is out of range")
     if sigma <= SIGMA_CUTOFF:
         return image
-    return apply_taps(image, gaussian_taps(image.width, sigma, mode), gaussian_taps(image.height, sigma, mode), image.width, image.height)
+    return two_passes(image, gaussian_kernel(image.width, sigma, mode), gaussian_kernel(image.height, sigma, mode), image.width, image.height)
 
 
 def bilateral(image: Raster, spatial_sigma: float, range_sigma: float) -> Raster:
-    """Each pixel meets the neighbours of its window, weighted by place and by joint channel distance."""
+    """Each pixel meets the neighbours of its window, weighted by place and by joint channel distance; a tile with its halo at a time."""
     radius = math.ceil(3 * spatial_sigma)
-    n = len(image.channels)
-    spark = image.frame.sparkSession
-    span = range(-radius, radius + 1)
-    xs = spark.createDataFrame([(o, bounded_index(o + k, image.width, "clamp"), k) for o in range(image.width) for k in span], "ox int, x int, kx int")
-    ys = spark.createDataFrame([(o, bounded_index(o + k, image.height, "clamp"), k) for o in range(image.height) for k in span], "oy int, y int, ky int")
-    table = image.table()
-    near = table.join(F.broadcast(xs), "x").join(F.broadcast(ys), "y").select("rid", F.col("oy").alias("y"), F.col("ox").alias("x"), "kx", "ky", *[F.col(f"c{i}").cast("double").alias(f"q{i}") for i in range(n)])
-    both = near.join(table, KEYS)
-    away = sum(((F.col(f"c{i}").cast("double") - F.col(f"q{i}")) * (F.col(f"c{i}").cast("double") - F.col(f"q{i}")) for i in range(n)), F.lit(0.0))
-    square = (F.col("kx") * F.col("kx") + F.col("ky") * F.col("ky")).cast("double")
-    both = both.withColumn("w", F.exp(-square / (2 * spatial_sigma**2)) * F.exp(-away / (2 * range_sigma**2)))
-    sums = [f32(F.sum(F.col(f"q{i}") * F.col("w")) / F.sum("w")).alias(f"c{i}") for i in range(n)]
-    return image.over(both.groupBy(*KEYS).agg(*sums), n)
+    size, n = 2 * radius + 1, len(image.channels)
+    xs = tile_places(image.width, image.width, size, radius, lambda i: bounded_index(i, image.width, "clamp"))
+    ys = tile_places(image.height, image.height, size, radius, lambda i: bounded_index(i, image.height, "clamp"))
+
+    def kernel(grids: Grids) -> Grids:
+        h, w = grids[0].shape[0] - 2 * radius, grids[0].shape[1] - 2 * radius
+        own = [g[radius : radius + h, radius : radius + w] for g in grids]
+        sums, total = [np.zeros((h, w)) for _ in grids], np.zeros((h, w))
+        for j in range(size):
+            for i in range(size):
+                near = [g[j : j + h, i : i + w] for g in grids]
+                away = sum((c - q) ** 2 for c, q in zip(own, near, strict=True))
+                weight = np.exp(-((j - radius) ** 2 + (i - radius) ** 2) / (2 * spatial_sigma**2) - away / (2 * range_sigma**2))
+                total += weight
+                for s, q in zip(sums, near, strict=True):
+                    s += weight * q
+        return [s / total for s in sums]
+
+    return image.over(tiled(image, xs, ys, (size, size), (image.width, image.height), kernel), n)
 
 
 def _box(table, names: list[str], radius: int):

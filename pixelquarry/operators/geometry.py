@@ -1,12 +1,14 @@
-"""Coordinate remaps: projections where the map is one-to-one, joins with small tap tables where it is not."""
+"""Coordinate remaps: projections where the map is one-to-one, line kernels and joins by place where it is not."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..plans.blocks import Grids, along
 from ..plans.raster import KEYS, Raster, RasterError, f32
 
 
@@ -51,7 +53,7 @@ def bounded(i: Column, n: int, mode: str) -> Column:
 
 
 def bounded_index(i: int, n: int, mode: str) -> int | None:
-    """The same on the driver, for tap tables."""
+    """The same on the driver, for taps and tiles."""
     if mode in ("constant", "transparent"):
         return i if 0 <= i < n else None
     if mode == "clamp":
@@ -88,23 +90,25 @@ def pad(image: Raster, left: int = 0, right: int = 0, top: int = 0, bottom: int
 Taps = list[tuple[int, int, float]]
 
 
-def tap_table(frame: DataFrame, taps: Taps, axis: str) -> DataFrame:
-    return frame.sparkSession.createDataFrame(taps, f"o{axis} int, {axis} int, w{axis} double")
+def tap_kernel(taps: Taps, n_out: int):
+    """Weighted sums of a line's samples; an output has as many terms as the one with most taps."""
+    order = sorted(taps)
+    out = np.array([o for o, _, _ in order], dtype=np.int64)
+    term = np.arange(len(out)) - np.searchsorted(out, out)
+    index, weight = (np.zeros((int(term.max(initial=-1)) + 1, n_out), dtype=t) for t in (np.int64, float))
+    index[term, out], weight[term, out] = [i for _, i, _ in order], [w for _, _, w in order]
 
+    def run(grids: Grids) -> Grids:
+        return [sum((np.where(w, g[:, i], 0) * w for i, w in zip(index, weight, strict=True)), np.zeros((len(g), n_out))) for g in grids]
 
-def apply_taps(image: Raster, x_taps: Taps, y_taps: Taps, width: int, height: int) -> Raster:
-    """Two weighted passes, along x and then y, each rounded to single precision.
+    return run
 
-    A tap is (output index, source index, weight). The tables have an output axis' samples times the kernel's; they are
-    broadcast, and each pass is a partial and a final hash aggregate.
-    """
+
+def two_passes(image: Raster, x_kernel, y_kernel, width: int, height: int) -> Raster:
+    """A kernel along x and one along y, each rounded to single precision: a shuffle of the pixels for each, whatever the number of taps."""
     n = len(image.channels)
-    table = image.table()
-    for axis, other, taps in (("x", "y", x_taps), ("y", "x", y_taps)):
-        joined = table.join(F.broadcast(tap_table(table, taps, axis)), axis)
-        sums = [f32(F.sum(F.col(f"c{i}").cast("double") * F.col(f"w{axis}"))).alias(f"c{i}") for i in range(n)]
-        table = joined.groupBy("rid", other, F.col(f"o{axis}").alias(axis)).agg(*sums)
-    return image.over(table.select(*KEYS, *[f"c{i}" for i in range(n)]), n, width=width, height=height)
+    half = image.over(along(image, "x", image.width, width, x_kernel), n, width=width)
+    return image.over(along(half, "y", image.height, height, y_kernel), n, width=width, height=height)
 
 
 def merged(taps: Taps) -> Taps:
@@ -152,7 +156,7 @@ def resize(image: Raster, width: int, height: int, kind: str) -> Raster:
         raise RasterError(f"no filter {kind}")
     if (width, height) == (image.width, image.height):
         return image
-    return apply_taps(image, resize_taps(image.width, width, kind), resize_taps(image.height, height, kind), width, height)
+    return two_passes(image, tap_kernel(resize_taps(image.width, width, kind), width), tap_kernel(resize_taps(image.height, height, kind), height), width, height)
 
 
 def domain_warp(source: Raster, displacement: Raster, kind: str = "bilinear", mode: str = "clamp", value: float = 0.0) -> Raster:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, Window
+import numpy as np
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..plans.raster import KEYS, Raster, RasterError, f32, together
+from ..plans.blocks import Grids, along
+from ..plans.raster import Raster, RasterError, f32, together
 
 
 def _mask(extent_from: Raster, coverage: Column) -> Raster:
@@ -113,32 +115,60 @@ def sdf_to_mask(sdf: Raster, half_width_px: float = 0.0) -> Raster:
     return sdf.but(F.when(phi == inf, 0.0).when(phi == -inf, 1.0).otherwise(smoothstep((half_width_px - phi) / (2 * half_width_px))))
 
 
+def _gaps(grids: Grids) -> Grids:
+    """Along each line the distance to the nearest sample inside, and to the nearest outside; infinite where there is none."""
+    out = []
+    for seed in (grids[0] > 0, grids[0] == 0):
+        at = np.arange(seed.shape[1], dtype=float)
+        before = np.maximum.accumulate(np.where(seed, at, -np.inf), axis=1)
+        after = np.minimum.accumulate(np.where(seed, at, np.inf)[:, ::-1], axis=1)[:, ::-1]
+        out.append(np.minimum(at - before, after - at))
+    return out
+
+
+def _least_squares_along(gap: np.ndarray) -> np.ndarray:
+    """For each place x of each line the least (x - i)^2 + gap[i]^2 over i.
+
+    The best i never falls as x grows, so places are settled by halving: the middle one of each open stretch searches only
+    between its settled neighbours' best, about two lines' worth of steps for each halving.
+    """
+    lines, n = gap.shape
+    cost = (gap * gap).ravel()
+    best = np.full((lines, n + 2), n - 1)  # place x stands at x + 1, between two sentinels
+    best[:, 0] = 0
+    least = np.empty((lines, n))
+    step = 1 << max(0, n.bit_length() - 1)
+    while step:
+        x = np.arange(step, n + 1, 2 * step)
+        low, high = best[:, x - step].ravel(), best[:, np.minimum(x + step, n + 1)].ravel()
+        count = high - low + 1
+        first = np.cumsum(count) - count
+        i = np.arange(int(count.sum())) - np.repeat(first - low, count)
+        place, line = np.tile(x - 1, lines), np.repeat(np.arange(lines) * n, len(x))
+        away = np.repeat(place, count) - i
+        value = away * away + cost[np.repeat(line, count) + i]
+        found = np.minimum.reduceat(value, first)
+        hit = np.flatnonzero(value == np.repeat(found, count))
+        own = np.repeat(np.arange(len(first)), count)[hit]
+        best[:, x] = i[hit[np.searchsorted(own, np.arange(len(first)))]].reshape(lines, -1)
+        least[:, x - 1] = found.reshape(lines, -1)
+        step >>= 1
+    return least
+
+
 def mask_to_sdf(mask: Raster, threshold: float = 0.5) -> Raster:
-    """Signed distance between pixel centres, exact: along each column the nearest seed by windows, then along each row the least sum of squares.
+    """Signed distance between pixel centres, exact: along each column the nearest seed, then along each row the least sum of squares.
 
-    The second pass pairs the pixels of one row of one raster, so its rows grow with the width and not with the image.
+    Two line kernels, of linear and n log n time in a line's pixels.
     """
-    inside = f32(mask.channels[0]) >= threshold
-    rows = mask.frame.select(*KEYS, inside.alias("inside"))
-    column = Window.partitionBy("rid", "x")
-    up, down = column.orderBy("y").rowsBetween(Window.unboundedPreceding, 0), column.orderBy("y").rowsBetween(0, Window.unboundedFollowing)
-
-    def gap(seed: Column) -> Column:
-        at = F.when(seed, F.col("y"))
-        before, after = F.last(at, ignorenulls=True).over(up), F.first(at, ignorenulls=True).over(down)
-        return F.least(F.col("y") - before, after - F.col("y"))
-
-    near = rows.select(*KEYS, "inside", gap(F.col("inside")).alias("gi"), gap(~F.col("inside")).alias("go"))
-    line = near.groupBy("rid", "y").agg(F.collect_list(F.struct("x", "gi", "go")).alias("line"))  # a row of one raster
-
-    def least(x: Column, name: str) -> Column:
-        squares = F.transform("line", lambda p: (p["x"] - x) * (p["x"] - x) + p[name] * p[name])
-        return F.coalesce(F.sqrt(F.array_min(squares).cast("double")), F.lit(float("inf")))
-
-    each = line.select("rid", "y", F.explode(F.transform("line", lambda c: F.struct(c["x"].alias("x"), least(c["x"], "gi").alias("di"), least(c["x"], "go").alias("do")))).alias("p"))
-    inf = float("inf")
-    phi = F.when(F.col("p.di") == inf, F.lit(inf)).when(F.col("p.do") == inf, F.lit(-inf)).otherwise(F.col("p.di") - F.col("p.do"))
-    return mask.over(each.select("rid", "y", F.col("p.x").alias("x"), f32(phi).alias("c0")), 1)
+    inside = mask.but(F.when(f32(mask.channels[0]) >= threshold, 1.0).otherwise(0.0))
+    near = mask.over(along(inside, "y", mask.height, mask.height, _gaps, missing=-1.0, outputs=2), 2)
+
+    def phi(grids: Grids) -> Grids:
+        to_inside, to_outside = (np.sqrt(_least_squares_along(g)) for g in grids)
+        return [np.where(np.isinf(to_inside), np.inf, np.where(np.isinf(to_outside), -np.inf, to_inside - np.where(np.isinf(to_outside), 0, to_outside)))]
+
+    return mask.over(along(near, "x", mask.width, mask.width, phi, missing=np.inf, outputs=1), 1)
 
 
 def grow(mask: Raster, radius_px: float, threshold: float = 0.5) -> Raster:

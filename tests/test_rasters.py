@@ -170,3 +170,35 @@ def test_same_frame_needs_no_shuffle(spark):
     edited = paint.fill(s.rgba, s.mask, [0.2, 0.4, 0.6, 1.0])
     plan = paint.masked_replace(edited, s.rgba, masks.rect(s.rgba, 1, 1, 5, 5)).table()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_distance_over_long_lines(spark):
+    rng = np.random.default_rng(7)
+    for n, share in ((1, 0.5), (2, 0.5), (77, 0.02), (130, 0.9)):
+        gap = np.where(rng.random((5, n)) < share, rng.integers(0, 40, (5, n)).astype(float), np.inf)
+        places = np.arange(n)
+        wanted = ((places[:, None] - places[None, :]) ** 2 + (gap * gap)[:, None, :]).min(axis=2)
+        assert np.array_equal(masks._least_squares_along(gap), wanted)
+    on = rng.random((70, 90)) < 0.01
+    got, seeds, others = values(masks.mask_to_sdf(raster(spark, on.astype(float)))), np.argwhere(on), np.argwhere(~on)
+    to = lambda places, p: np.sqrt(((places - np.array(p)) ** 2).sum(axis=1).min())
+    assert all(got[p] == pytest.approx(to(seeds, p) - to(others, p), abs=1e-5) for p in np.ndindex(on.shape))
+
+
+def test_filters_agree_across_tiles_and_batches(spark):
+    grid = np.random.default_rng(8).random((70, 150))
+    r = raster(spark, grid)
+    kernel = np.random.default_rng(9).random((5, 3))
+    for mode, pad, more in (("mirror", "reflect", {}), ("wrap", "wrap", {}), ("clamp", "edge", {}), ("constant", "constant", {"constant_values": 0.3})):
+        p = np.pad(grid, ((2, 2), (1, 1)), pad, **more)
+        wanted = sum(kernel[j, i] * p[j : j + 70, i : i + 150] for j in range(5) for i in range(3))
+        assert np.allclose(values(filters.convolve(r, 3, 5, kernel.ravel().tolist(), mode=mode, value=0.3)), wanted, atol=1e-5)
+    far = values(filters.convolve(r, 1, 1, [1.0], origin=(140, 0), mode="constant", value=0.5))  # whole tiles see nothing but the constant
+    assert np.allclose(far[:, 140:], grid[:, :10], atol=1e-6) and np.all(far[:, :140] == 0.5)
+    p = np.pad(grid, 3, "edge")
+    near = np.stack([p[j : j + 70, i : i + 150] for j in range(7) for i in range(7)])
+    w = np.exp(-np.array([(j - 3) ** 2 + (i - 3) ** 2 for j in range(7) for i in range(7)]) / 2)[:, None, None] * np.exp(-((near - grid) ** 2) / (2 * 0.2**2))
+    assert np.allclose(values(filters.bilateral(r, 1.0, 0.2)), (w * near).sum(0) / w.sum(0), atol=1e-5)
+    w = np.exp(-(np.arange(-12, 13.0) ** 2) / 32)
+    along = lambda g, axis: np.apply_along_axis(lambda v: np.convolve(np.pad(v, 12, "edge"), w / w.sum(), "valid"), axis, g)
+    assert np.allclose(values(filters.gaussian_blur(r, 4.0)), along(along(grid, 1), 0), atol=1e-5)
