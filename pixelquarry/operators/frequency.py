@@ -1,4 +1,4 @@
-"""Pyramids by tap joins; spectra by a block kernel for each raster."""
+"""Pyramids by line kernels; spectra by a block kernel for each raster."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.raster import KEYS, Raster, RasterError, f32
+from ..plans.raster import KEYS, Raster, RasterError, f32, settle
 from .filters import gaussian_blur
 
 MAX_LEVELS = 64
@@ -18,7 +18,7 @@ def child(n: int, phase: str) -> int:
 
 
 def gaussian_pyramid(image: Raster, levels: int, sigma: float = 1.0, phase: str = "floor") -> list[Raster]:
-    """Finest first; each further level is the blurred one before at its even places."""
+    """Finest first; each further level is the blurred one before at its even places, settled once so that coarser ones and the bands read it."""
     if not 1 <= levels <= MAX_LEVELS:
         raise RasterError("levels are out of range")
     out = [image.settled()]
@@ -27,7 +27,7 @@ def gaussian_pyramid(image: Raster, levels: int, sigma: float = 1.0, phase: str
         w, h = child(last.width, phase), child(last.height, phase)
         table = gaussian_blur(last, sigma).table().where((F.col("x") % 2 == 0) & (F.col("y") % 2 == 0) & (F.col("x") < 2 * w) & (F.col("y") < 2 * h))
         halved = table.withColumns({"x": F.expr("CAST(x DIV 2 AS INT)"), "y": F.expr("CAST(y DIV 2 AS INT)")})
-        out.append(last.over(halved, len(last.channels), width=w, height=h))
+        out.append(last.over(settle(halved), len(last.channels), width=w, height=h))
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..plans.raster import Raster, RasterError, f32, together
+from ..plans.raster import Raster, RasterError, f32, settle, together
 
 # The sRGB transfer curve and the Rec. 709 luma weights.
 SRGB_KNEE, LINEAR_KNEE = 0.04045, 0.0031308
@@ -94,4 +94,4 @@ def orientation(tensor: Raster, epsilon: float = 1e-12) -> tuple[Raster, Raster]
 
 def materialize(image: Raster) -> Raster:
     """The same samples behind a lineage cut, in the folder for checkpoints."""
-    return image.over(image.table().checkpoint(), len(image.channels))
+    return image.over(settle(image.table()), len(image.channels))

@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.raster import KEYS, Raster, RasterError, finite, together
@@ -62,13 +62,20 @@ def statistics(image: Raster, mask: Raster | None = None) -> DataFrame:
 
 
 def histogram(image: Raster, bins: int, domain_min: float, domain_max: float) -> DataFrame:
-    """Counts by bin; -1 below the domain, ``bins`` above it, ``bins + 1`` not finite. The top edge falls in the last bin."""
+    """Counts of every bin, empty ones too; -1 below the domain, ``bins`` above it, ``bins + 1`` not finite. The top edge falls in the last bin.
+
+    One aggregate counts the samples, and the zeros are added to its far fewer rows.
+    """
     if not 1 <= bins <= 1 << 20 or domain_max <= domain_min:
         raise RasterError("bins or domain are out of range")
     v, width = F.col("v"), (domain_max - domain_min) / bins
     place = F.least(F.floor((v - domain_min) / width), F.lit(bins - 1)).cast("int")
     which = F.when(~finite(v), bins + 1).when(v < domain_min, -1).when(v > domain_max, bins).otherwise(place)
-    return _long(image).groupBy("rid", "ch", which.alias("bin")).agg(F.count("*").alias("n"))
+    zeros = F.explode(F.sequence(F.lit(-1), F.lit(bins + 1)))
+    channels = F.explode(F.array(*[F.lit(i) for i in range(len(image.channels))]))
+    empty = image.frame.select("rid").distinct().select("rid", channels.alias("ch")).select("rid", "ch", zeros.alias("bin"), F.lit(0).cast("long").alias("n"))
+    counts = _long(image).groupBy("rid", "ch", which.alias("bin")).agg(F.count("*").alias("n"))
+    return counts.unionByName(empty).groupBy("rid", "ch", "bin").agg(F.sum("n").alias("n"))
 
 
 def bounds(mask: Raster) -> DataFrame:
@@ -132,15 +139,25 @@ def frequency_energy(image: Raster, bands: int, mask: Raster | None = None, inve
 
 
 def _verdict(rows: DataFrame, excess: Column, bad: Column) -> DataFrame:
-    """Violations of each raster, the worst excess and its first place."""
-    place = F.struct(excess.alias("excess"), (-F.col("y")).alias("y"), (-F.col("x")).alias("x"))
-    out = rows.groupBy("rid").agg(F.count_if(bad).alias("n"), F.max(F.when(bad, place)).alias("worst"))
-    return out.select("rid", (F.col("n") == 0).alias("passed"), "n", F.col("worst.excess").alias("excess"), (-F.col("worst.y")).alias("y"), (-F.col("worst.x")).alias("x"))
+    """Violations of each raster, the worst excess and its first place, and ``places``: the first ``LOCATIONS`` of them in raster order.
+
+    The capped list is what the report has. Each task keeps a raster's first places only, and each of its lists is merged under the cap.
+    """
+    tagged = rows.select(*KEYS, excess.alias("excess"), bad.alias("bad"))
+    place = F.struct("excess", (-F.col("y")).alias("y"), (-F.col("x")).alias("x"))
+    out = tagged.groupBy("rid").agg(F.count_if("bad").alias("n"), F.max(F.when(F.col("bad"), place)).alias("worst"))
+    order = Window.partitionBy("rid").orderBy("y", "x")
+    first = tagged.where("bad").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= LOCATIONS)
+    places = first.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("y", "x"))).alias("places"))
+    none = F.array().cast("array<struct<y:int,x:int>>")
+    return out.join(places, "rid", "left").select(
+        "rid", (F.col("n") == 0).alias("passed"), "n", F.col("worst.excess").alias("excess"), (-F.col("worst.y")).alias("y"), (-F.col("worst.x")).alias("x"), F.coalesce("places", none).alias("places")
+    )
 
 
-def locations(rows: DataFrame, bad: Column, limit: int = LOCATIONS) -> DataFrame:
-    """The first places of a raster's violations: a capped list is what the report has."""
-    return rows.where(bad).select(*KEYS).orderBy(*KEYS).limit(limit)
+def locations(report: DataFrame) -> DataFrame:
+    """``rid``, ``y``, ``x`` of a report's listed violations, a row each."""
+    return report.select("rid", F.explode("places").alias("p")).select("rid", "p.y", "p.x")
 
 
 def assert_finite(image: Raster) -> DataFrame:

@@ -9,6 +9,7 @@ dealt out by it.
 from __future__ import annotations
 
 import itertools
+import tempfile
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -33,6 +34,18 @@ def finite(c: Column) -> Column:
     return ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
 
 
+def settle(frame: DataFrame) -> DataFrame:
+    """The frame behind a lineage cut in the folder that ``spark.checkpoint.dir`` names; a local session without it takes a temporary one."""
+    spark = frame.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return frame.checkpoint()
+
+
 class RasterError(ValueError):
     """A parameter or descriptor that an operator doesn't accept."""
 

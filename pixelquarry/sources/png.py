@@ -1,8 +1,10 @@
-"""PNG files: read through Spark's binary reader, written through its own committed output."""
+"""PNG files: read through Spark's binary reader, written as rows of a table or as files."""
 
 from __future__ import annotations
 
+import os
 import struct
+import uuid
 import zlib
 
 import numpy as np
@@ -113,3 +115,26 @@ def encode_images(image: Raster) -> DataFrame:
         return pd.DataFrame({"rid": [block["rid"].iloc[0]], "png": [encode(out)]})
 
     return table.groupBy("rid").applyInPandas(run, "rid long, png binary")
+
+
+def write_images(image: Raster, folder: str) -> int:
+    """A file ``<rid>.png`` of each raster in ``folder``, which all executors must share; returns how many.
+
+    Each file is written under another name, synced, and renamed in one step: readers see whole files only, and a task that
+    runs twice puts the same bytes in place again.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for rid, data in zip(batch["rid"], batch["png"], strict=True):
+                part = os.path.join(folder, f".{rid}.{uuid.uuid4().hex}.part")
+                with open(part, "xb") as out:
+                    out.write(data)
+                    out.flush()
+                    os.fsync(out.fileno())
+                os.replace(part, os.path.join(folder, f"{rid}.png"))
+            yield pd.DataFrame({"rid": batch["rid"]})
+
+    if not os.path.isdir(folder):
+        raise RasterError(f"no folder {folder}")
+    return encode_images(image).mapInPandas(run, "rid long").count()

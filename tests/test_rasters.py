@@ -95,7 +95,7 @@ def test_nan_and_infinity_are_guarded(spark):
     assert (row["v_min"], row["v_max"], row["n_finite"], row["n_nonfinite"]) == (0.5, 0.5, 1, 3)
     assert reports.assert_range(r, 0.0, 1.0).collect()[0]["n"] == 3
     assert reports.assert_finite(r).collect()[0]["passed"] is False
-    assert {b["bin"]: b["n"] for b in reports.histogram(r, 2, 0.0, 1.0).collect()} == {3: 3, 1: 1}
+    assert {b["bin"]: b["n"] for b in reports.histogram(r, 2, 0.0, 1.0).collect()} == {-1: 0, 0: 0, 1: 1, 2: 0, 3: 3}
     assert reports.bounds(r).collect()[0]["n"] == 1
     assert r.frame.select(png.quantized(F.col("c0"))).collect()[0][0] == 0
 
@@ -202,3 +202,25 @@ def test_filters_agree_across_tiles_and_batches(spark):
     w = np.exp(-(np.arange(-12, 13.0) ** 2) / 32)
     along = lambda g, axis: np.apply_along_axis(lambda v: np.convolve(np.pad(v, 12, "edge"), w / w.sum(), "valid"), axis, g)
     assert np.allclose(values(filters.gaussian_blur(r, 4.0)), along(along(grid, 1), 0), atol=1e-5)
+
+
+def test_reports_list_the_first_violations(spark):
+    grid = np.zeros((20, 30))
+    grid[5:] = 2.0
+    report = reports.assert_range(raster(spark, grid), 0.0, 1.0)
+    row = report.collect()[0]
+    assert row["n"] == 450 and [(p["y"], p["x"]) for p in row["places"]] == [(5 + i // 30, i % 30) for i in range(reports.LOCATIONS)]
+    assert reports.locations(report).count() == reports.LOCATIONS
+    assert reports.assert_range(raster(spark, grid), 0.0, 3.0).collect()[0]["places"] == []
+
+
+def test_png_files_are_written_whole(spark, tmp_path):
+    grid = np.random.default_rng(4).integers(0, 256, (6, 5)) / 255
+    r = raster(spark, grid)
+    for _ in range(2):  # again over the same files
+        assert png.write_images(r, str(tmp_path)) == 1
+        assert [p.name for p in tmp_path.iterdir()] == ["0.png"]
+    rows = png.decode_images(spark, str(tmp_path)).toPandas().sort_values(["y", "x"])
+    assert np.allclose(rows.v.to_numpy().reshape(6, 5), grid, atol=1e-6)
+    with pytest.raises(RasterError):
+        png.write_images(r, str(tmp_path / "none"))
