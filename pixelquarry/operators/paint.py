@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.raster import Raster, RasterError, f32, fresh, together
+from ..plans.raster import KEYS, Raster, RasterError, f32, fresh, together
 
 
 def _result(like: Raster, frame, channels) -> Raster:
@@ -100,21 +103,65 @@ def radial_gradient(extent_from: Raster, center: tuple[float, float], radius: fl
     return _gradient(extent_from, F.sqrt(dx * dx + dy * dy) / radius, stops, has_alpha)
 
 
+#: Splats that one expression holds, and the squared distance in sigmas from which a weight is exactly 0 in doubles.
+EXPRESSION_SPLATS, SUPPORT = 16, 1500.0
+BLENDS = ("normal", "multiply", "add", "screen", "lighten")
+
+
+def _splat_batches(base: Raster, splats: list[dict]) -> DataFrame:
+    """The fold on Arrow batches of pixels; the table of splats goes to every task, ``max_splats`` rows of 15 numbers at most."""
+    rows = []
+    for s in splats:
+        (sx, sy), t = s["sigma_px"], s.get("angle_rad", 0.0)
+        cos, sin = math.cos(t), math.sin(t)
+        reach = [math.sqrt(SUPPORT * ((p * sx) ** 2 + (q * sy) ** 2)) + 1 for p, q in ((cos, sin), (sin, cos))]
+        rows.append([*s["center_px"], *reach, sx, sy, cos, sin, 1 + 7 * s.get("hardness", 0.0), s.get("opacity", 1.0), BLENDS.index(s.get("blend", "normal")), *s["color"]])
+    table = np.array(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            px, py = (batch.column(k).to_numpy() + 0.5 for k in ("x", "y"))
+            d = np.stack([batch.column(f"c{i}").to_numpy().astype(float) for i in range(4)])
+            cx, cy, rx, ry = table[:, :4].T
+            for k in np.flatnonzero((cx + rx >= px.min()) & (cx - rx <= px.max()) & (cy + ry >= py.min()) & (cy - ry <= py.max())):
+                x, y, rx_k, ry_k, sx, sy, cos, sin, power, opacity, blend, *color = table[k]
+                at = np.flatnonzero((np.abs(px - x) <= rx_k) & (np.abs(py - y) <= ry_k))
+                dx, dy, old = px[at] - x, py[at] - y, d[:, at]
+                u, v = (dx * cos + dy * sin) / sx, (dy * cos - dx * sin) / sy
+                cover = color[3] * (opacity * np.exp(-0.5 * (u * u + v * v) ** power))
+                new = np.array([*color[:3], 1.0])[:, None] * cover
+                mode = BLENDS[int(blend)]
+                if mode == "normal":
+                    d[:, at] = old * (1 - cover) + new
+                elif mode == "multiply":
+                    d[:3, at] = old[:3] * (1 - cover) + old[:3] * np.array(color[:3])[:, None] * cover
+                    d[3, at] = old[3] * (1 - cover) + cover
+                else:
+                    d[:, at] = {"add": old + new, "screen": old + new - old * new, "lighten": np.maximum(old, new)}[mode]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in KEYS], *[pa.array(c.astype(np.float32)) for c in d]], batch.schema.names)
+
+    return base.table().mapInArrow(run, "rid long, y int, x int, c0 float, c1 float, c2 float, c3 float")
+
+
 def gaussian_splats(base: Raster, splats: list[dict], max_splats: int = 100_000) -> Raster:
-    """An ordered fold of anisotropic Gaussians over premultiplied samples, as one expression for each channel.
+    """An ordered fold of anisotropic Gaussians over premultiplied samples; their order is part of the result.
 
-    A splat has ``center_px``, ``sigma_px``, ``angle_rad``, ``color`` (RGBA), ``opacity``, ``blend`` and ``hardness``. Meant for
-    batches that fit in an expression; the order of the splats is part of the result.
+    A splat has ``center_px``, ``sigma_px``, ``angle_rad``, ``color`` (RGBA), ``opacity``, ``blend`` and ``hardness``. A few are one expression for each
+    channel; more than ``EXPRESSION_SPLATS`` go over the pixels a batch at a time, where each splat meets only the pixels in its support. Neither shuffles.
     """
     if len(splats) > max_splats:
         raise RasterError("too many splats")
+    if any(min(s["sigma_px"]) <= 0 for s in splats):
+        raise RasterError("sigma must be positive")
+    if len(splats) > EXPRESSION_SPLATS:
+        return base.over(_splat_batches(base, splats), len(base.channels))
     state = [c.cast("double") for c in base.channels]
     frame = base.frame
     names = [fresh("s") for _ in state]
     frame = frame.select("*", *[c.alias(n) for c, n in zip(state, names, strict=True)])
     for s in splats:
-        if min(s["sigma_px"]) <= 0:
-            raise RasterError("sigma must be positive")
         d = [F.col(n) for n in names]
         dx, dy = F.col("x") + 0.5 - s["center_px"][0], F.col("y") + 0.5 - s["center_px"][1]
         cos, sin = math.cos(s.get("angle_rad", 0.0)), math.sin(s.get("angle_rad", 0.0))

@@ -224,3 +224,22 @@ def test_png_files_are_written_whole(spark, tmp_path):
     assert np.allclose(rows.v.to_numpy().reshape(6, 5), grid, atol=1e-6)
     with pytest.raises(RasterError):
         png.write_images(r, str(tmp_path / "none"))
+
+
+def test_many_splats_equal_few_at_a_time(spark):
+    rng = np.random.default_rng(6)
+    s = queries.Scene(spark, SF)
+    blends = ["normal", "multiply", "add", "screen", "lighten"]
+    splats = [
+        {"center_px": rng.uniform((-5, -5), (105, 15)).tolist(), "sigma_px": rng.uniform(0.2, 3, 2).tolist(), "angle_rad": float(rng.uniform(0, 3)), "color": rng.uniform(0, 1, 4).tolist(), "opacity": 0.7, "blend": blends[k % 5], "hardness": 0.1 * (k % 3)}
+        for k in range(40)
+    ]
+    some = s.rgba
+    for k in range(0, 40, 10):
+        some = paint.gaussian_splats(some, splats[k : k + 10])
+    wanted = some.table().toPandas().sort_values(["rid", "y", "x"])
+    got = paint.gaussian_splats(s.rgba, splats).table().toPandas().sort_values(["rid", "y", "x"])
+    assert len(got) == len(wanted) and np.allclose(got.to_numpy(), wanted.to_numpy(), atol=1e-5)
+    assert paint.gaussian_splats(s.rgba, [{**splats[0], "center_px": [10.0 * (k % 10), k % 7]} for k in range(2000)]).table().count() == len(got)
+    with pytest.raises(RasterError):
+        paint.gaussian_splats(s.rgba, [{**splats[0], "sigma_px": [0.0, 1.0]}] * 20)
