@@ -243,3 +243,21 @@ def test_many_splats_equal_few_at_a_time(spark):
     assert paint.gaussian_splats(s.rgba, [{**splats[0], "center_px": [10.0 * (k % 10), k % 7]} for k in range(2000)]).table().count() == len(got)
     with pytest.raises(RasterError):
         paint.gaussian_splats(s.rgba, [{**splats[0], "sigma_px": [0.0, 1.0]}] * 20)
+
+
+def test_components_agree_across_tiles(spark):
+    rng = np.random.default_rng(11)
+    on = rng.random((23, 31)) < 0.55
+    for connectivity in (4, 8):
+        for tile in (4, 7, 64):
+            pixels, groups = topology.components(raster(spark, on.astype(float)), connectivity, tile)
+            first = {r["root"]: r["first"] for r in groups.collect()}
+            wanted = topology.first_places(on, connectivity)
+            rows = pixels.collect()
+            assert len(rows) == on.size
+            assert all((first[r["root"]] if r["root"] is not None else on.size) == wanted[r["y"], r["x"]] for r in rows)
+    ring = np.zeros((300, 280))
+    ring[10:290, 12] = ring[10:290, 270] = ring[10, 12:271] = ring[289, 12:271] = 1
+    assert values(topology.fill_holes(raster(spark, ring), 4)).sum() == 280 * 259
+    assert values(topology.remove_components(raster(spark, ring), int(ring.sum()) + 1)).sum() == 0
+    assert np.array_equal(values(topology.remove_components(raster(spark, ring), int(ring.sum()))), ring)
