@@ -105,7 +105,7 @@ def radial_gradient(extent_from: Raster, center: tuple[float, float], radius: fl
 
 #: Splats that one expression holds, and the squared distance in sigmas from which a weight is exactly 0 in doubles.
 EXPRESSION_SPLATS, SUPPORT = 16, 1500.0
-BLENDS = ("normal", "multiply", "add", "screen", "lighten")
+SPLAT_BLENDS = ("normal", "multiply", "add", "screen", "lighten")
 
 
 def _splat_batches(base: Raster, splats: list[dict]) -> DataFrame:
@@ -115,7 +115,7 @@ def _splat_batches(base: Raster, splats: list[dict]) -> DataFrame:
         (sx, sy), t = s["sigma_px"], s.get("angle_rad", 0.0)
         cos, sin = math.cos(t), math.sin(t)
         reach = [math.sqrt(SUPPORT * ((p * sx) ** 2 + (q * sy) ** 2)) + 1 for p, q in ((cos, sin), (sin, cos))]
-        rows.append([*s["center_px"], *reach, sx, sy, cos, sin, 1 + 7 * s.get("hardness", 0.0), s.get("opacity", 1.0), BLENDS.index(s.get("blend", "normal")), *s["color"]])
+        rows.append([*s["center_px"], *reach, sx, sy, cos, sin, 1 + 7 * s.get("hardness", 0.0), s.get("opacity", 1.0), SPLAT_BLENDS.index(s.get("blend", "normal")), *s["color"]])
     table = np.array(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +132,7 @@ def _splat_batches(base: Raster, splats: list[dict]) -> DataFrame:
                 u, v = (dx * cos + dy * sin) / sx, (dy * cos - dx * sin) / sy
                 cover = color[3] * (opacity * np.exp(-0.5 * (u * u + v * v) ** power))
                 new = np.array([*color[:3], 1.0])[:, None] * cover
-                mode = BLENDS[int(blend)]
+                mode = SPLAT_BLENDS[int(blend)]
                 if mode == "normal":
                     d[:, at] = old * (1 - cover) + new
                 elif mode == "multiply":
