@@ -1,5 +1,6 @@
 """Raster operators: every twin query, and laws and closed forms that need no oracle."""
 
+import hashlib
 import math
 
 import duckdb
@@ -261,3 +262,11 @@ def test_components_agree_across_tiles(spark):
     assert values(topology.fill_holes(raster(spark, ring), 4)).sum() == 280 * 259
     assert values(topology.remove_components(raster(spark, ring), int(ring.sum()) + 1)).sum() == 0
     assert np.array_equal(values(topology.remove_components(raster(spark, ring), int(ring.sum()))), ring)
+
+
+def test_content_hash_is_of_the_samples_in_order(spark):
+    grid = np.array([[0.5, -0.0, np.nan], [np.inf, 1e-40, 2.0]])
+    bits = grid.astype("<f4").view("<u4")
+    bits[0, 2] = 0x7FC00000
+    wanted = hashlib.sha256(np.array([3, 2, 1], "<u4").tobytes() + bits.tobytes()).hexdigest()
+    assert reports.content_hash(raster(spark, grid)).collect()[0]["content_hash"] == f"sha256:{wanted}"
