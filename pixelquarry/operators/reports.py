@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.raster import KEYS, Raster, RasterError, finite, together
+from ..plans.raster import KEYS, Raster, RasterError, f32, finite, together
 from .frequency import laplacian_split
 from .pointwise import srgb_decode
 
@@ -197,11 +197,12 @@ def assert_changed_bounds(before: Raster, after: Raster, box: tuple[int, int, in
 
 
 def assert_no_change_outside_mask(before: Raster, after: Raster, allowed: Raster, space: str = "decoded-linear", outside_threshold: float = 0.0, coverage_epsilon: float = 0.0) -> DataFrame:
+    """Coverage and ``coverage_epsilon`` are compared in single precision, so a sample stored as 0.1 is within 0.1."""
     field = _delta(before, after, space)
     frame, (d, (m,)) = together(field, allowed)
     top = F.coalesce(_greatest([F.when(~F.isnan(c), c.cast("double")) for c in d]), F.lit(0.0))
     rows = frame.select(*KEYS, top.alias("d"), m.cast("float").alias("m"))
-    return _verdict(rows, F.col("d"), (F.col("m") <= coverage_epsilon) & (F.col("d") > outside_threshold))
+    return _verdict(rows, F.col("d"), (F.col("m") <= f32(F.lit(coverage_epsilon))) & (F.col("d") > outside_threshold))
 
 
 def assert_frequency_preserved(before: Raster, after: Raster, bands: int, tolerance: float = 0.05, mask: Raster | None = None) -> DataFrame:

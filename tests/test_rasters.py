@@ -215,6 +215,13 @@ def test_reports_list_the_first_violations(spark):
     assert reports.assert_range(raster(spark, grid), 0.0, 3.0).collect()[0]["places"] == []
 
 
+def test_a_mask_sample_stored_as_epsilon_is_outside(spark):
+    """0.1 in single precision is above 0.1 in double precision."""
+    before, after, allowed = raster(spark, [[0, 0, 0]]), raster(spark, [[1, 1, 1]]), raster(spark, [[0.05, 0.1, 0.2]])
+    report = reports.assert_no_change_outside_mask(before, after, allowed, coverage_epsilon=0.1)
+    assert [tuple(r) for r in reports.locations(report).collect()] == [(0, 0, 0), (0, 0, 1)]
+
+
 def test_png_files_are_written_whole(spark, tmp_path):
     grid = np.random.default_rng(4).integers(0, 256, (6, 5)) / 255
     r = raster(spark, grid)
