@@ -2,10 +2,13 @@
 
 The rules count words, symbols, repeated lines and repeated word windows. The forest isolates documents by
 random splits of these statistics: the shorter the mean path to a document's leaf, the more unusual it
-is. The path score above which a document goes is calibrated on labelled rows.
+is. Every tree is grown over all labelled documents that pass the base rules, level by level: each level is one
+job that finds the bounds of all nodes. The path score above which a document goes is an exact quantile over all
+labelled good ones.
 
 Defined results: a null or empty text has zero words and fails the base rules; without labelled rows no
-document goes by the forest; a null or repeated id is an ordinary row; other columns aren't read.
+document goes by the forest; a null or repeated id is an ordinary row (it takes part in the fit once for each
+document row; of several labels of an id the least counts, a null id has none); other columns aren't read.
 """
 
 from __future__ import annotations
@@ -17,18 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sampling import hash_sample
-from .tables import table
+from .tables import Scratch, table
 from .textbytes import SPACE, Words, byte_view, mix64, pieces, window_hashes
 
-#: Bound of the labelled sample on the driver, and the forest's size.
-SAMPLE_ROWS = 4096
-TREES, LEAF_ROWS = 100, 256
+#: Trees of the forest, and the splits on a path at most.
+TREES, DEPTH = 100, 8
+#: Bits of a score that one pass of the quantile settles.
+RADIX_BITS = 16
 #: Share of the labelled good documents that the calibrated threshold may reject.
 GOOD_LOSS = 0.015
 SYMBOLS = b"#*$%&|<>"
 RULES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-EXTRA = ["n_stops"]
+VIEW = ["chars", "symbols", "repeats", "stops"]
 
 
 def _dup_lines(raw: np.ndarray, offsets: np.ndarray, docs: int) -> np.ndarray:
@@ -91,84 +94,160 @@ def _mean_path(n: np.ndarray | float) -> np.ndarray:
 
 
 class IsolationForest:
-    """Trees of random splits, each over its own draw of the rows, kept as flat arrays."""
-
-    def __init__(self, rows: np.ndarray, trees: int = TREES, size: int = LEAF_ROWS, seed: int = 7):
-        rng = np.random.Generator(np.random.PCG64(seed))
-        self.size = min(size, len(rows))
-        self.depth = max(1, int(np.ceil(np.log2(max(self.size, 2)))))
-        self.roots: list[int] = []
-        self.nodes: list[list[float]] = []  # feature, cut, left, right, path length at a leaf
-        for _ in range(trees if len(rows) else 0):
-            drawn = rows[rng.choice(len(rows), self.size, replace=False)]
-            self.roots.append(self._grow(drawn, 0, rng))
-        self.table = np.array(self.nodes or [[0, 0, 0, 0, 0.0]])
-
-    def _grow(self, rows: np.ndarray, depth: int, rng: np.random.Generator) -> int:
-        at = len(self.nodes)
-        self.nodes.append([0, np.inf, at, at, depth + float(_mean_path(len(rows)))])
-        low, high = rows.min(axis=0), rows.max(axis=0)
-        wide = np.flatnonzero(high > low)
-        if depth < self.depth and len(rows) > 1 and len(wide):
-            feature = int(rng.choice(wide))
-            cut = float(rng.uniform(low[feature], high[feature]))
-            below = rows[:, feature] < cut
-            self.nodes[at][:2] = [feature, cut]
-            self.nodes[at][2] = self._grow(rows[below], depth + 1, rng) if below.any() else at
-            self.nodes[at][3] = self._grow(rows[~below], depth + 1, rng) if (~below).any() else at
+    """Trees of random splits, each over all rows; node ``h`` of a tree has the children ``2 * h`` and ``2 * h + 1``, the root is 1."""
+
+    def __init__(self, rows: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = 7):
+        self.trees, self.depth, self.seed, self.size = trees, depth, seed, 0
+        self.feature = np.zeros((trees, 2 << depth), dtype=np.int64)
+        self.cut = np.full((trees, 2 << depth), np.nan)  # NaN at a leaf
+        self.path = np.zeros((trees, 2 << depth))
+        for level in range(depth + 1 if len(rows) else 0):
+            self.split(level, *self.bounds(level, rows))
+
+    def _nodes(self, tree: int, rows: np.ndarray, level: int) -> np.ndarray:
+        """The node of each row after ``level`` splits, or the leaf before."""
+        at, each = np.ones(len(rows), dtype=np.int64), np.arange(len(rows))
+        for _ in range(level):
+            cut = self.cut[tree, at]
+            at = np.where(np.isnan(cut), at, 2 * at + (rows[each, self.feature[tree, at]] >= cut))
         return at
 
+    def bounds(self, level: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each tree and node of a level: how many rows reach it, and each feature's least and greatest value there."""
+        width = 1 << level
+        n, low, high = np.zeros((self.trees, width), dtype=np.int64), *(np.full((rows.shape[1], self.trees, width), v) for v in (np.inf, -np.inf))
+        for tree in range(self.trees):
+            at = self._nodes(tree, rows, level) - width
+            there = at >= 0
+            at = at[there]
+            n[tree] = np.bincount(at, minlength=width)
+            for k in range(rows.shape[1]):
+                np.minimum.at(low[k, tree], at, rows[there, k])
+                np.maximum.at(high[k, tree], at, rows[there, k])
+        return n, low, high
+
+    def split(self, level: int, n: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """Split the nodes of a level at random: a feature that varies there, and a cut between its bounds."""
+        here = slice(1 << level, 2 << level)
+        self.path[:, here] = level + _mean_path(n)
+        if level == 0:
+            self.size = int(n[0, 0])
+        if level == self.depth:
+            return
+        draw = np.random.Generator(np.random.PCG64([self.seed, level])).random((2, self.trees, 1 << level))
+        wide = high > low
+        order = np.cumsum(wide, axis=0)  # the number of each varying feature among those of its node, from 1
+        chosen = np.argmax(wide & (order == np.floor(draw[0] * order[-1]) + 1), axis=0)
+        least, most = (np.take_along_axis(v, chosen[None], axis=0)[0] for v in (low, high))
+        inner = wide.any(axis=0)
+        self.feature[:, here] = chosen
+        self.cut[:, here][inner] = most[inner] - (most[inner] - least[inner]) * draw[1][inner]
+
     def score(self, rows: np.ndarray) -> np.ndarray:
         """Between 0 and 1; near 1 for rows that few splits isolate."""
-        if not self.roots or not len(rows):
+        if not self.size or not len(rows):
             return np.zeros(len(rows))
-        feature, left, right = (self.table[:, k].astype(np.int64) for k in (0, 2, 3))
-        path, each = np.zeros(len(rows)), np.arange(len(rows))
-        for root in self.roots:
-            at = np.full(len(rows), root)
-            for _ in range(self.depth):
-                at = np.where(rows[each, feature[at]] < self.table[at, 1], left[at], right[at])
-            path += self.table[at, 4]
-        return 2.0 ** (-path / len(self.roots) / max(float(_mean_path(self.size)), 1e-9))
+        path = np.zeros(len(rows))
+        for tree in range(self.trees):
+            path += self.path[tree, self._nodes(tree, rows, self.depth)]
+        return 2.0 ** (-path / self.trees / max(float(_mean_path(self.size)), 1e-9))
 
 
 def base_failed(s: dict[str, np.ndarray]) -> np.ndarray:
     return (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
 
 
-def rule_counts(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and all counts, in one pass where the text is read."""
-    names = RULES + EXTRA
+def passing(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and the forest's view of every document that passes the base rules, in one pass where the text is read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
                 s = statistics(piece.column("text"))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *[pa.array(s[k]) for k in names]], ["doc_id", *names])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in names))
-
+                passed = ~base_failed(s)
+                columns = [piece.column("doc_id").filter(pa.array(passed)), *map(pa.array, ratios(s)[passed].T)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *VIEW])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{k} double" for k in VIEW))
+
+
+def _view(batch: pa.RecordBatch) -> np.ndarray:
+    return np.column_stack([batch.column(k).to_numpy() for k in VIEW])
+
+
+def grow(rows: DataFrame, **shape: int) -> IsolationForest:
+    """The forest over all ``rows``. What reaches the driver are the nodes of a level, ``TREES * 2**DEPTH`` at most."""
+    forest = IsolationForest(np.zeros((0, len(VIEW))), **shape)
+    lows, highs = [f"low{k}" for k in range(len(VIEW))], [f"high{k}" for k in range(len(VIEW))]
+    merged = [F.sum("n").alias("n"), *[F.min(k).alias(k) for k in lows], *[F.max(k).alias(k) for k in highs]]
+    for level in range(forest.depth + 1):
+        so_far = rows.sparkSession.sparkContext.broadcast(forest)
+
+        def run(batches: Iterator[pa.RecordBatch], level: int = level, so_far=so_far) -> Iterator[pa.RecordBatch]:
+            n, low, high = so_far.value.bounds(level, np.zeros((0, len(VIEW))))
+            for batch in batches:
+                more = so_far.value.bounds(level, _view(batch))
+                n, low, high = n + more[0], np.minimum(low, more[1]), np.maximum(high, more[2])
+            node = np.flatnonzero(n)
+            columns = [node, n.ravel()[node], *low.reshape(len(VIEW), -1)[:, node], *high.reshape(len(VIEW), -1)[:, node]]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["node", "n", *lows, *highs])
+
+        schema = "node long, n long, " + ", ".join(f"{k} double" for k in lows + highs)
+        got = rows.mapInArrow(run, schema).groupBy("node").agg(*merged).toArrow()
+        n, low, high = forest.bounds(level, np.zeros((0, len(VIEW))))
+        node = got["node"].to_numpy()
+        n.reshape(-1)[node] = got["n"].to_numpy()
+        for k in range(len(VIEW)):
+            low[k].reshape(-1)[node], high[k].reshape(-1)[node] = got[lows[k]].to_numpy(), got[highs[k]].to_numpy()
+        forest.split(level, n, low, high)
+        so_far.unpersist()
+    return forest
+
+
+def quantile(values: DataFrame, share: float) -> float:
+    """The value at ``ceil((n - 1) * share)`` of all, in order from 0; infinite if there are none.
+
+    ``values`` has the bit patterns of numbers from 0 up, which are in the order of the numbers, as ``bits``. Each pass counts
+    by the next ``RADIX_BITS`` bits under those already known, so that no task sorts the values.
+    """
+    known, before, rank = None, 0, None
+    for shift in range(64 - RADIX_BITS, -1, -RADIX_BITS):
+        under = values if known is None else values.where(F.shiftright("bits", shift + RADIX_BITS) == known)
+        got = sorted(tuple(r) for r in under.groupBy(F.shiftright("bits", shift).alias("head")).count().collect())
+        if not got:
+            return np.inf
+        if rank is None:
+            rank = int(np.ceil((sum(n for _, n in got) - 1) * share))
+        for known, n in got:  # noqa: B007
+            if rank < before + n:
+                break
+            before += n
+    return float(np.array(known, dtype=np.int64).view(np.float64))
+
+
+def fit(docs: DataFrame, labels: DataFrame, good_loss: float = GOOD_LOSS) -> tuple[IsolationForest, float]:
+    """The forest over all labelled documents that pass the base rules, and its threshold.
+
+    The threshold is the least score that costs at most ``good_loss`` of all the good ones. The texts are read where they
+    lie; only the views of the documents, a few numbers each, meet the labels.
+    """
+    least = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    with Scratch(docs.sparkSession, "forest") as scratch:
+        rows = scratch.stored(passing(docs).join(least, "doc_id").select("quality", *VIEW), "rows")
+        forest = grow(rows.select(*VIEW))
+        model = docs.sparkSession.sparkContext.broadcast(forest)
 
-def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_ROWS, good_loss: float = GOOD_LOSS) -> tuple[IsolationForest, float]:
-    """The forest and its threshold, from the counts of at most ``size`` labelled documents.
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(model.value.score(_view(batch)).view(np.int64))], ["bits"])
 
-    The forest sees documents that pass the base rules. The threshold is the least score that costs at most
-    ``good_loss`` of the good ones.
-    """
-    chosen = hash_sample(labels.where(F.col("quality").isNotNull()), "doc_id", size, values=["quality"])
-    sample = rule_counts(docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"))  # at most `size` ids
-    got = sample.join(F.broadcast(chosen), "doc_id").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
-    s = {k: got[k].to_numpy() for k in RULES + EXTRA}
-    passed = ~base_failed(s) if len(got) else np.zeros(0, bool)
-    rows = ratios(s)[passed]
-    forest = IsolationForest(rows)
-    good = forest.score(rows)[got["quality"].to_numpy()[passed] == 1]
-    return forest, float(np.quantile(good, 1 - good_loss, method="higher")) if len(good) else np.inf
+        scores = scratch.stored(rows.where("quality = 1").select(*VIEW).mapInArrow(run, "bits long"), "scores")
+        return forest, quantile(scores, 1 - good_loss)
 
 
 def judge(docs: DataFrame, forest: IsolationForest, threshold: float) -> DataFrame:
     """``doc_id``, the counts, ``base_failed``, ``anomaly`` (the path score) and ``kept`` of every whole text."""
-    model = docs.sparkSession.sparkContext.broadcast(forest)  # TREES * 2 * LEAF_ROWS nodes at most
+    model = docs.sparkSession.sparkContext.broadcast(forest)  # TREES * 2 * 2**DEPTH nodes
     schema = "doc_id long, " + ", ".join(f"{k} long" for k in RULES) + ", base_failed boolean, kept boolean, anomaly double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

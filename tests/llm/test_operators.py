@@ -208,6 +208,32 @@ def test_without_labels_the_forest_rejects_nothing(spark):
     assert quality_rules.judge(docs, forest, threshold).collect()[0]["kept"]
 
 
+def test_the_forest_is_fitted_on_every_labelled_document(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(("stone", "a", "river.", "#x")) + str(rng.randrange(10**4)) for _ in range(50 + i % 7))) for i in range(4500)]
+    docs = spark.createDataFrame(rows + [(7, rows[11][1]), (None, rows[0][1]), (9999, "short")], DOCS)
+    labels = [(i, 1 - (i % 9 == 0)) for i in range(4500)] + [(1, 0), (2, None), (9999, 1)]
+    forest, threshold = quality_rules.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert forest.size == 4501
+    view = np.array([r[1:] for r in quality_rules.passing(docs).where("doc_id < 9000").collect()])
+    local = quality_rules.IsolationForest(view)
+    assert np.array_equal(local.cut, forest.cut, equal_nan=True) and np.array_equal(local.path, forest.path) and np.array_equal(local.feature, forest.feature)
+    score = {r["doc_id"]: [] for r in docs.select("doc_id").collect()}
+    for r in quality_rules.judge(docs, forest, threshold).collect():
+        score[r["doc_id"]].append(r["anomaly"])
+    good = [s for i in range(4500) if i % 9 and i != 1 for s in score[i]]
+    assert threshold == np.quantile(good, 1 - quality_rules.GOOD_LOSS, method="higher")
+
+
+def test_the_quantile_is_exact(spark):
+    rng = np.random.default_rng(4)
+    for values in (rng.random(1001), np.array([0.5] * 40 + [0.5 + 2**-50] * 3), np.array([0.0])):
+        bits = spark.createDataFrame([(int(b),) for b in values.view(np.int64)], "bits long")
+        for share in (0.0, 0.3, 0.985, 1.0):
+            assert quality_rules.quantile(bits, share) == np.quantile(values, share, method="higher")
+    assert quality_rules.quantile(bits.limit(0), 0.5) == np.inf
+
+
 def test_a_sample_keeps_every_row_under_its_bound(spark):
     rows = spark.createDataFrame([(i, i % 3, i % 2) for i in range(500)] + [(7, 1, 0), (None, 1, 0)], "doc_id long, v int, g int")
     every = hash_sample(rows, "doc_id", 500, values=["v"]).collect()
