@@ -2,7 +2,8 @@
 
 For every prefix of a byte string there is exactly one token that can end its encoding: the token
 ``t`` whose start prefix has a last token ``u`` with ``encode(u + t) == [u, t]``. A table of these last
-tokens is the whole state of the encoder. Appending bytes extends the table, and an edit at byte ``i``
+tokens is the whole state of the encoder. Only tokens that end at a byte are tried there; they follow from the
+longest suffix of the prefix that begins a token. Appending bytes extends the table, and an edit at byte ``i``
 leaves the entries before ``i`` valid, so only the rest is worked out again.
 
 Defined results: a null or empty text has no tokens; each match of the split pattern is encoded on its
@@ -14,30 +15,45 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import os
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .tables import documents
+from .textbytes import byte_view, pieces
 
 #: Bounds of what a worker keeps from task to task.
 CACHE_PIECES = 300_000
-CACHE_PAIRS = 200_000
+CACHE_PAIRS = 300_000
+CACHE_STEPS = 100_000
+#: The longest parts that are kept.
+CACHE_CHARS = 64
+#: Bytes of text that are encoded together.
+SLICE = 1_000_000
+#: Above all ranks.
+NEVER = 1 << 40
+#: In a prefix table: before the first byte, and where no token ends.
+START, NOWHERE = -1, -2
+#: A state after some bytes: their longest suffix that begins a token, and the tokens that end there with their sizes, longest first.
+State = tuple[bytes, tuple[tuple[int, int], ...]]
 
 
 class Ranks:
-    """Token ranks, with the checks that the prefix table needs."""
+    """Token ranks, with the checks and the steps that the prefix table needs."""
 
     def __init__(self, rank: dict[bytes, int]):
         self.rank = rank
-        self.longest = max(map(len, rank))
         self.token = {i: t for t, i in rank.items()}
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._alone: dict[int, bool] = {}
+        self.size = {i: len(t) for t, i in rank.items()}
+        self.base = max(self.token) + 1
+        self.pairs: dict[int, bool] = {}  # by left * base + right
+        self.steps: dict[bytes, State] = {}  # by the bytes of the state before and the next byte
+        self._begins = {t[:k] for t in rank for k in range(1, len(t))}.difference(rank)
 
     @classmethod
     def parse(cls, lines: bytes) -> Ranks:
@@ -45,36 +61,53 @@ class Ranks:
 
     def merge(self, data: bytes) -> list[int]:
         """Encoding by merging the pair of lowest rank, leftmost first; for short strings."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best = min(((self.rank.get(a + b, 1 << 40), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))))
-            if best[0] == 1 << 40:
-                break
-            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        rank, parts = self.rank.get, [data[i : i + 1] for i in range(len(data))]
+        costs = [rank(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while costs and (best := min(costs)) != NEVER:
+            i = costs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del costs[i]
+            if i:
+                costs[i - 1] = rank(parts[i - 1] + parts[i], NEVER)
+            if i < len(costs):
+                costs[i] = rank(parts[i] + parts[i + 1], NEVER)
         return [self.rank[p] for p in parts]
 
     def follows(self, left: int, right: int) -> bool:
-        """Whether the two tokens stay as they are when their bytes are encoded together."""
-        known = self._pairs.get((left, right))
-        if known is None:
-            if len(self._pairs) >= CACHE_PAIRS:
-                self._pairs.clear()
-            known = self._pairs[left, right] = self.merge(self.token[left] + self.token[right]) == [left, right]
+        """Whether the two tokens stay as they are when their bytes are encoded together; after ``START``, whether the right one does alone."""
+        if len(self.pairs) >= CACHE_PAIRS:
+            self.pairs.clear()
+        if left == NOWHERE:
+            known = False
+        elif left == START:
+            known = self.merge(self.token[right]) == [right]
+        else:
+            known = self.merge(self.token[left] + self.token[right]) == [left, right]
+        self.pairs[left * self.base + right] = known
         return known
 
-    def stands(self, token: int) -> bool:
-        """Whether the token is what its own bytes encode to."""
-        known = self._alone.get(token)
-        if known is None:
-            known = self._alone[token] = self.merge(self.token[token]) == [token]
-        return known
+    def step(self, key: bytes) -> State:
+        """The state after ``key``: the bytes of a state and one more."""
+        if len(self.steps) >= CACHE_STEPS:
+            self.steps.clear()
+        suffix = key
+        while suffix and suffix not in self.rank and suffix not in self._begins:
+            suffix = suffix[1:]
+        if suffix != key and suffix in self.steps:
+            state = self.steps[suffix]
+        else:
+            ends = ((self.rank.get(suffix[k:]), len(suffix) - k) for k in range(len(suffix)))
+            state = suffix, tuple((token, size) for token, size in ends if token is not None)
+        self.steps[key] = state
+        return state
 
 
 class PrefixTable:
     """The last token of each byte prefix of one piece of text."""
 
     def __init__(self, ranks: Ranks, data: bytes = b""):
-        self.ranks, self.data, self.last = ranks, b"", [-1]
+        self.ranks, self.data, self.last = ranks, b"", [START]
+        self.states: list[State] = [(b"", ())]
         self.append(data)
 
     def append(self, more: bytes) -> PrefixTable:
@@ -83,27 +116,43 @@ class PrefixTable:
     def replace(self, start: int, stop: int, new: bytes) -> PrefixTable:
         """Put ``new`` in place of ``data[start:stop]``; prefixes up to ``start`` keep their entries."""
         self.data = data = self.data[:start] + new + self.data[stop:]
-        ranks, last = self.ranks, self.last
-        del last[start + 1 :]
-        rank, follows, longest = ranks.rank.get, ranks.follows, ranks.longest
+        ranks, last, states = self.ranks, self.last, self.states
+        del last[start + 1 :], states[start + 1 :]
+        pairs, steps, base = ranks.pairs.get, ranks.steps.get, ranks.base
+        state = states[start]
         for end in range(start + 1, len(data) + 1):
-            for begin in range(max(0, end - longest), end):
-                token = rank(data[begin:end])
-                if token is not None and (ranks.stands(token) if begin == 0 else last[begin] >= 0 and follows(last[begin], token)):
+            key = state[0] + data[end - 1 : end]
+            state = steps(key) or ranks.step(key)
+            states.append(state)
+            for token, size in state[1]:
+                left = last[end - size]
+                known = pairs(left * base + token)
+                if known or (known is None and ranks.follows(left, token)):
                     last.append(token)
                     break
             else:
-                last.append(-1)
+                last.append(NOWHERE)
         return self
 
+    def become(self, data: bytes) -> PrefixTable:
+        """The table of ``data``; prefixes that both texts have keep their entries."""
+        same = 0
+        for ours, other in zip(data, self.data, strict=False):
+            if ours != other:
+                break
+            same += 1
+        return self.replace(same, len(self.data), data[same:])
+
     def ids(self) -> list[int]:
-        out, end = [], len(self.data)
-        while end:
-            if self.last[end] < 0:
-                raise ValueError("the ranks lack a single-byte token")
-            out.append(self.last[end])
-            end -= len(self.ranks.token[out[-1]])
-        return out[::-1]
+        out, end, last, size = [], len(self.data), self.last, self.ranks.size
+        if end and last[end] < 0:
+            raise ValueError("the ranks lack a single-byte token")
+        while end:  # what stands before a token that ends somewhere ends somewhere too
+            token = last[end]
+            out.append(token)
+            end -= size[token]
+        out.reverse()
+        return out
 
 
 class Codec:
@@ -111,48 +160,75 @@ class Codec:
 
     def __init__(self, ranks: Ranks, pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.digits = {i: str(i) for i in ranks.token}
-        self._seen: dict[str, tuple[int, ...]] = {}
+        self._bytes = _by_rank(ranks.token)
+        self._digits = _by_rank({i: f"{i} ".encode() for i in ranks.token})
+        self._seen: dict[str, bytes] = {}  # ids as an array's bytes, which the garbage collector needn't walk through
         self._table = PrefixTable(ranks)
         self._loose = regex.compile(r" \s|\s |^ | $").search
 
-    def piece(self, text: str) -> tuple[int, ...]:
-        if len(self._seen) >= CACHE_PIECES:
-            self._seen.clear()
+    def piece(self, text: str) -> bytes:
         data = text.encode()
         whole = self.ranks.rank.get(data)
-        if whole is not None:
-            found = (whole,)
-        else:
-            table = self._table
-            same = len(os.path.commonprefix((table.data, data)))
-            found = tuple(table.replace(same, len(table.data), data[same:]).ids())
-        if len(text) <= 64:
+        ids = self._table.become(data).ids() if whole is None else [whole]
+        found = array("i", ids).tobytes()
+        if len(text) <= CACHE_CHARS:
             self._seen[text] = found
         return found
 
-    def encode(self, text: str | None) -> list[int]:
+    def parts(self, text: str | None) -> list[str]:
+        """The text in parts between which matches of the split pattern begin and end."""
         if not text:
             return []
         if self._loose(text):
-            parts = self.split(text)
-        else:
-            # Each space stands between two characters that aren't spaces, so every match of the split
-            # pattern lies between two such places, and what stands there can be looked up at once.
-            head, *rest = text.split(" ")
-            parts = [head, *[" " + x for x in rest]]
-        seen = self._seen
-        for new in sorted(set(parts).difference(seen)):  # neighbours in this order share prefixes
-            found = tuple(chain.from_iterable([seen.get(p) or self.piece(p) for p in self.split(new)]))
-            if len(new) <= 64:
-                seen[new] = found
-        return list(chain.from_iterable([seen.get(p) or self._whole(p) for p in parts]))
+            return self.split(text)
+        # Each space stands between two characters that aren't spaces, so every match of the split
+        # pattern lies between two such places, and what stands there can be looked up at once.
+        head, *rest = text.split(" ")
+        return [head, *[" " + x for x in rest]]
+
+    def _part(self, part: str) -> bytes:
+        seen, pieces = self._seen.get, self.split(part)
+        found = b"".join([seen(p) or self.piece(p) for p in pieces])
+        if len(part) <= CACHE_CHARS:
+            self._seen[part] = found
+        return found
+
+    def encode(self, texts: list[str | None]) -> list[array]:
+        """The ids of each text. What no text before had is worked out in order, so that neighbours share prefixes."""
+        parts = [self.parts(t) for t in texts]
+        new = {p for p in set(chain.from_iterable(parts)).difference(self._seen) if len(p) <= CACHE_CHARS}
+        if len(self._seen) + len(new) > CACHE_PIECES:
+            self._seen.clear()
+        cut = {p: self.split(p) for p in new}
+        for piece in sorted(set(chain.from_iterable(cut.values())).difference(self._seen)):
+            self.piece(piece)
+        self._seen.update((p, b"".join(map(self._seen.__getitem__, c))) for p, c in cut.items() if len(c) > 1)
+        seen, out = self._seen.get, []
+        for each in parts:
+            ids = array("i")
+            ids.frombytes(b"".join([seen(p) or self._part(p) for p in each]))
+            out.append(ids)
+        return out
+
+    def decode(self, ids: list[array]) -> list[memoryview]:
+        """The bytes of each text."""
+        return _joined(self._bytes, ids)
+
+    def digits(self, ids: list[array]) -> list[memoryview]:
+        """The decimal ids of each text, joined by one space."""
+        return [x[:-1] for x in _joined(self._digits, ids)]
+
+
+def _by_rank(values: dict[int, bytes]) -> pa.Array:
+    return pa.array([values.get(i) for i in range(max(values) + 1)], pa.binary())
 
-    def _whole(self, part: str) -> list[int]:
-        return list(chain.from_iterable(map(self.piece, self.split(part))))
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.ranks.token.__getitem__, ids))
+def _joined(values: pa.Array, ids: list[array]) -> list[memoryview]:
+    """For each list of ids, their values one after the other: slices of one buffer."""
+    taken = values.take(pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
+    raw, offsets = byte_view(taken)
+    ends = offsets[np.cumsum([0, *map(len, ids)])]
+    return [memoryview(raw)[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
 _CODECS: dict[str, Codec] = {}
@@ -180,20 +256,17 @@ def tokens(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(lines.value, pattern)
         for batch in batches:
-            n, ids_sha, text_sha, kept = [], [], [], []
-            for text in batch.column(1):
-                ids = codec.encode(text.as_py())
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(" ".join(map(codec.digits.__getitem__, ids)).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+            for piece in pieces(batch, limit=SLICE):
+                encoded = codec.encode(piece.column("text").to_pylist())
+                n = pa.array(map(len, encoded), pa.int64())
+                ids_sha, text_sha = ([hashlib.sha256(x).hexdigest() for x in of(encoded)] for of in (codec.digits, codec.decode))
+                columns = [piece.column("doc_id"), n, pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    kept.append(pa.array(ids, pa.int32()))
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns.append(pa.array([x.to_numpy() for x in kept], pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+                    ends = pa.array(np.cumsum([0, *map(len, encoded)]), pa.int32())
+                    columns.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(encoded), dtype=np.int32))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

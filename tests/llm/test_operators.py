@@ -441,6 +441,40 @@ def test_prefix_table_appends_and_edits(ranks):
     assert table.replace(50, 53, b"zz").ids() == ranks.merge(edited)
 
 
+def test_a_prefix_table_looks_up_only_tokens_that_end_at_a_byte(ranks):
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+    own = byte_bpe.Ranks(Counted(ranks.rank))
+    data = b"thenationsandbelieveersein" * 4
+    first = byte_bpe.PrefixTable(own, data).ids()
+    own.rank.asked = 0
+    assert byte_bpe.PrefixTable(own, data).ids() == first == ranks.merge(data)
+    assert own.rank.asked == 0  # it was one for each of the 2,000 substrings
+
+
+def test_tokens_are_the_same_with_small_caches(ranks, monkeypatch):
+    import public_tokenizers
+    import tiktoken
+
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks.rank, special_tokens={})
+    rng = random.Random(6)
+    letters = ["a", "b", "e", "th", " ", " ", " ", "  ", "\n", "\t", "é", "日", "🙂", "'s", "!", "..", "1", "ing", "zz", "x" * 70]
+    texts = [None, ""] + ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(600)]
+    for bound in (1, 40, 10**6):
+        for name in ("CACHE_PIECES", "CACHE_PAIRS", "CACHE_STEPS"):
+            monkeypatch.setattr(byte_bpe, name, bound)
+        codec = byte_bpe.Codec(byte_bpe.Ranks(ranks.rank), public_tokenizers.PATTERN)
+        got = [ids for k in range(0, len(texts), 50) for ids in codec.encode(texts[k : k + 50])]
+        assert [list(ids) for ids in got] == [library.encode_ordinary(t or "") for t in texts]
+        assert [bytes(x) for x in codec.decode(got)] == [(t or "").encode() for t in texts]
+        assert [bytes(x).decode() for x in codec.digits(got)] == [" ".join(map(str, ids)) for ids in got]
+
+
 # 8 -----------------------------------------------------------------------------------------------------------------
 
 
